@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .quality import op8_quality
 from .substring_dedup import op10_substring_dedup
+from .suffix_dedup import op1_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
+        "op8_quality": op8_quality,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
