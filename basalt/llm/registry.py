@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprint import op7_fingerprint
+from .media import op2_media
 from .quality import op8_quality
 from .substring_dedup import op10_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
@@ -15,6 +16,7 @@ from .suffix_dedup import op1_suffix_dedup
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_media": op2_media,
         "op7_fingerprint": op7_fingerprint,
         "op8_quality": op8_quality,
         "op10_substring_dedup": op10_substring_dedup,
