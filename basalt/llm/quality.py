@@ -22,6 +22,7 @@ gives its label's smoothed share to all.
 from __future__ import annotations
 
 import math
+import operator
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,15 +34,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_LABELLED = 6_000
-MAX_FIT_CHARS = 100_000
+MAX_FIT_CHARS = 20_000
 #: Buckets of the lexicon; its size does not depend on the data.
 BUCKETS = 1 << 20
 #: Sites up to which their table is broadcast (some 10 MB); beyond, it is joined by exchange.
 BROADCAST_SITES = 100_000
 _WORD = re.compile(r"\w+")
-_ODD = re.compile(r"[^\w\s]")
+_MARKED = re.compile(r"[^\w\s]{2,}(?!\S)")
 _PREFIXES = (3, 4, 5, 6, 7)
 TOP = 5
+SHAPES = 10
 
 
 def word_features(word: str) -> list[int]:
@@ -51,32 +53,21 @@ def word_features(word: str) -> list[int]:
     return out
 
 
-def words_of(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
-
-
-def shape(text: str) -> list[float]:
-    """Features that tell prose from tables, symbol runs and repeats."""
+def look(text: str) -> tuple[list[float], set[str]]:
+    """Shape features that tell prose from tables, symbol runs and repeats,
+    and the distinct words."""
     parts = text.split()
     n = len(parts)
+    words = _WORD.findall(text.lower())
     if not n:
-        return [0.0] * 10
-    distinct = len(set(parts))
-    same = sum(a == b for a, b in zip(parts, parts[1:], strict=False))
-    odd = len(_ODD.findall(text))
+        return [0.0] * SHAPES, set()
+    repeated = 1 - len(set(parts)) / n
+    same = sum(map(operator.eq, parts, parts[1:]))
+    odd = sum(map(len, parts)) - sum(map(len, words))
     lines = text.split("\n")
-    return [
-        math.log1p(n),
-        1 - distinct / n,
-        (1 - distinct / n) * math.log1p(n),
-        same / n,
-        odd / len(text),
-        sum(p == "|" for p in parts) / n,
-        sum(len(p) > 3 and not p[-3:].isalnum() and not p[-2].isalnum() for p in parts) / n,
-        len(text) / n,
-        sum(c.isdigit() for c in text[:4096]) / min(len(text), 4096),
-        1 - len(set(lines)) / len(lines),
-    ]
+    digits = sum(map(text.count, "0123456789"))
+    shape = [math.log1p(n), repeated, repeated * math.log1p(n), same / n, odd / len(text), parts.count("|") / n, len(_MARKED.findall(text)) / n, len(text) / n, digits / len(text), 1 - len(set(lines)) / len(lines)]
+    return shape, set(words)
 
 
 class Logistic:
@@ -103,12 +94,25 @@ class Logistic:
         return np.clip(self._z(x) @ self.w, -20, 20)
 
 
+class Features:
+    """A document's distinct words as runs of buckets."""
+
+    def __init__(self, words: set[str]):
+        runs = [word_features(w) for w in sorted(words)]
+        self.start = np.cumsum([0, *map(len, runs[:-1])], dtype=np.int32) if runs else np.zeros(0, np.int32)
+        self.bucket = np.array([f for r in runs for f in r], np.int32)
+
+    def scores(self, weight: np.ndarray) -> list[float]:
+        return np.maximum.reduceat(weight[self.bucket], self.start).tolist() if len(self.start) else []
+
+
 class Lexicon:
     """Smoothed log-odds of each bucket over documents that hold it."""
 
-    def __init__(self, documents: list[np.ndarray], y: np.ndarray):
-        seen, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        for at, toxic in zip(documents, y, strict=True):
+    def __init__(self, documents: list[Features], y: np.ndarray):
+        seen, bad = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
+        for d, toxic in zip(documents, y, strict=True):
+            at = np.unique(d.bucket)
             seen[at] += 1
             if toxic:
                 bad[at] += 1
@@ -117,14 +121,14 @@ class Lexicon:
         self.weight = np.where(seen >= 3, odds, 0).astype(np.float32)
 
     def word(self, word: str) -> float:
-        return max(0.0, max(float(self.weight[f]) for f in word_features(word)))
+        return max(float(self.weight[f]) for f in word_features(word))
 
 
 def evidence(scores: list[float]) -> list[float]:
     """Features of a document from its distinct words' scores."""
-    best = sorted((s for s in scores if s > 0), reverse=True)
-    top = (best[:TOP] + [0.0] * TOP)[:TOP]
-    return [*top, sum(s for s in best if s > 2), math.log1p(len(scores))]
+    high = [s for s in scores if s > 0.5]
+    top = (sorted(high, reverse=True)[:TOP] + [0.0] * TOP)[:TOP]
+    return [*top, sum(s for s in high if s > 2), math.log1p(len(scores))]
 
 
 class Model:
@@ -132,12 +136,15 @@ class Model:
 
     def __init__(self, texts: list[str], good: np.ndarray, toxic: np.ndarray):
         self.constant = {k: None if 0 < y.sum() < len(y) else math.log((y.sum() + 1) / (len(y) - y.sum() + 1)) for k, y in (("good", good), ("toxic", toxic))}
+        shapes, features = [], []
+        for t in texts:
+            s, words = look(t)
+            shapes.append(s)
+            features.append(Features(words))
         if self.constant["good"] is None:
-            self.good = Logistic(np.array([shape(t) for t in texts]), good)
+            self.good = Logistic(np.array(shapes), good)
         self.lexicon = None
         if self.constant["toxic"] is None:
-            words = [words_of(t) for t in texts]
-            features = [np.unique(np.fromiter((f for w in ws for f in word_features(w)), np.int64)) for ws in words]
             # evidence is fitted on documents that the lexicon has not seen
             half = np.arange(len(texts)) % 2 == 0
             x = np.zeros((len(texts), TOP + 2))
@@ -145,42 +152,41 @@ class Model:
                 if 0 < toxic[~part].sum():
                     lex = Lexicon([f for f, p in zip(features, part, strict=True) if not p], toxic[~part])
                     for i in np.flatnonzero(part):
-                        x[i] = evidence([lex.word(w) for w in words[i]])
+                        x[i] = evidence(features[i].scores(lex.weight))
             self.toxic = Logistic(x, toxic, 1e-3)
             self.lexicon = Lexicon(features, toxic)
 
     def logits(self, texts: list[str], cache: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
         n = len(texts)
-        good = np.full(n, self.constant["good"] or 0.0) if self.constant["good"] is not None else self.good.logit(np.array([shape(t) for t in texts]))
-        good = np.where(np.array([not t.strip() for t in texts]), -20.0, good)
-        if self.lexicon is None:
-            return good, np.full(n, self.constant["toxic"])
-        rows = []
+        shapes, rows = [], []
         for t in texts:
-            scores = []
-            for w in words_of(t):
-                s = cache.get(w)
-                if s is None:
-                    if len(cache) > 500_000:
-                        cache.clear()
-                    s = cache[w] = self.lexicon.word(w)
-                scores.append(s)
-            rows.append(evidence(scores))
-        return good, self.toxic.logit(np.array(rows))
+            s, words = look(t)
+            shapes.append(s)
+            if self.lexicon is not None:
+                for w in [w for w in words if w not in cache]:
+                    cache[w] = self.lexicon.word(w)
+                rows.append(evidence(list(map(cache.__getitem__, words))))
+                if len(cache) > 400_000:
+                    cache.clear()
+        good = self.good.logit(np.array(shapes)) if self.constant["good"] is None else np.full(n, self.constant["good"])
+        good = np.where(np.array([not t.strip() for t in texts]), -20.0, good)
+        return good, self.toxic.logit(np.array(rows)) if self.lexicon is not None else np.full(n, self.constant["toxic"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> Model:
     """A model from at most ``limit`` labelled documents."""
-    votes = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.avg("quality").alias("__q"), F.avg("toxic").alias("__t"))
-    texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).where(F.length("__text") <= MAX_FIT_CHARS)
-    rows = (
-        texts.join(votes, texts["__id"] == votes[id_col])
-        .select("__text", (F.col("__q") > 0.5).alias("good"), (F.col("__t") >= 0.5).alias("toxic"), F.xxhash64("__id").alias("__h"))
+    chosen = (
+        labels.where(F.col(id_col).isNotNull())
+        .groupBy(F.col(id_col).alias("__label_id"))
+        .agg((F.avg("quality") > 0.5).alias("good"), (F.avg("toxic") >= 0.5).alias("toxic"))
         .where("good IS NOT NULL AND toxic IS NOT NULL")
-        .orderBy("__h", "__text")
+        .orderBy(F.xxhash64("__label_id"), "__label_id")
         .limit(limit)
-        .collect()
     )
+    texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    # at most ``limit`` rows are broadcast, and as many texts collected
+    rows = texts.join(F.broadcast(chosen), F.col("__id") == F.col("__label_id")).where(F.length("__text") <= MAX_FIT_CHARS).select("__id", "__text", "good", "toxic").collect()
+    rows = sorted(rows, key=lambda r: (r["__id"], r["__text"]))[: 2 * limit]
     y = lambda k: np.array([r[k] for r in rows], float)
     return Model([r["__text"] for r in rows], y("good"), y("toxic"))
 
