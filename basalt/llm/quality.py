@@ -41,16 +41,16 @@ BUCKETS = 1 << 20
 BROADCAST_SITES = 100_000
 _WORD = re.compile(r"\w+")
 _MARKED = re.compile(r"[^\w\s]{2,}(?!\S)")
-_PREFIXES = (3, 4, 5, 6, 7)
+#: Bytes of a word's beginnings.
+_PREFIXES = (3, 4, 5, 6, 7, 8)
 TOP = 5
 SHAPES = 10
 
 
 def word_features(word: str) -> list[int]:
     """Buckets of a word: itself and its beginnings."""
-    out = [zlib.crc32(f"={word}".encode()) % BUCKETS]
-    out += [zlib.crc32(f"^{word[:k]}".encode()) % BUCKETS for k in _PREFIXES if len(word) > k]
-    return out
+    b = word.encode()
+    return [zlib.crc32(b, 1) % BUCKETS, *[zlib.crc32(b[:k]) % BUCKETS for k in _PREFIXES if len(b) > k]]
 
 
 def look(text: str) -> tuple[list[float], set[str]]:
@@ -121,7 +121,7 @@ class Lexicon:
         self.weight = np.where(seen >= 3, odds, 0).astype(np.float32)
 
     def word(self, word: str) -> float:
-        return max(float(self.weight[f]) for f in word_features(word))
+        return max(map(self.weight.item, word_features(word)))
 
 
 def evidence(scores: list[float]) -> list[float]:
