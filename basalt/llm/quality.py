@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import durable
+
 MAX_LABELLED = 6_000
 MAX_FIT_CHARS = 20_000
 #: Buckets of the lexicon; its size does not depend on the data.
@@ -250,19 +252,6 @@ def site_posteriors(rows: DataFrame) -> tuple[DataFrame, dict[str, float], int]:
     return out.select("__host", "__path", *[f"__site_{h}" for h in heads]), mean, int(whole["sites"])
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="checkpoints")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``p_good``, ``p_toxic`` (posteriors) and ``keep``."""
     columns = docs.columns

@@ -11,12 +11,15 @@ from .media import op2_media
 from .quality import op8_quality
 from .substring_dedup import op10_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
+from .warc import ORACLE_SQL as WARC_SQL
+from .warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_media": op2_media,
+        "op5_warc": op5_warc,
         "op7_fingerprint": op7_fingerprint,
         "op8_quality": op8_quality,
         "op10_substring_dedup": op10_substring_dedup,
@@ -24,4 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_warc": WARC_SQL,
+    }
