@@ -22,12 +22,12 @@ def plain(v):
     return v.isoformat() if isinstance(v, dt.date) else v
 
 
-def rows_of(df):
+def rows_of(df, key=lambda r: tuple((v is None, str(v)) for v in r)):
     cols = sorted(df.columns)
-    return cols, sorted(tuple(plain(r[c]) for c in cols) for r in df.collect())
+    return cols, sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=key)
 
 
 def expected(con, sql):
     rel = con.sql(sql)
     order = sorted(range(len(rel.columns)), key=lambda i: rel.columns[i])
-    return [rel.columns[i] for i in order], sorted(tuple(plain(r[i]) for i in order) for r in rel.fetchall())
+    return [rel.columns[i] for i in order], sorted((tuple(plain(r[i]) for i in order) for r in rel.fetchall()), key=lambda r: tuple((v is None, str(v)) for v in r))
