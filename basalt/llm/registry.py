@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprint import op7_fingerprint
+from .licenses import op4_license_scan
 from .media import op2_media
+from .packing import op6_packing
 from .quality import op8_quality
 from .substring_dedup import op10_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
@@ -19,7 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_media": op2_media,
+        "op4_license_scan": op4_license_scan,
         "op5_warc": op5_warc,
+        "op6_packing": op6_packing,
         "op7_fingerprint": op7_fingerprint,
         "op8_quality": op8_quality,
         "op10_substring_dedup": op10_substring_dedup,
