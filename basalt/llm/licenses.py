@@ -74,6 +74,8 @@ RULES: list[tuple[tuple[str, ...], str]] = [
 ]
 _PATTERNS = [(k, re.compile(p)) for k, p in SENTENCES]
 _END = re.compile(r"[.!?;](?=\s|$)|(?<![Ii]dentifier):(?=\s|$)|\n\s*\n")
+#: A tag ends with its line, whatever follows.
+_SPDX = re.compile(r"(?im)^(.*spdx-license-identifier:.*)$")
 _COMMENT = re.compile(r"^[ \t]*(?://+|/?\*+/?|#+|;+|--+|<!--|rem\b)?", re.M)
 
 
@@ -102,7 +104,7 @@ def recognised(text: str) -> list[tuple[str, str]]:
     if not any(t in low for t in TRIGGERS):
         return []
     out = []
-    text = _COMMENT.sub("", text)
+    text = _SPDX.sub(r"\n\n\1\n\n", _COMMENT.sub("", text))
     at = 0
     for m in [*_END.finditer(text), None]:
         part = text[at : m.start() if m else len(text)]
