@@ -93,10 +93,10 @@ def next_ids(ids: DataFrame, id_col: str) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document with its text's sketch: ``__id, text, n_chars, sketch``."""
+    """A row per document with its text's sketch: ``__id, text, sketch``."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("__id"), text.alias("text"))
-    return with_sketch(base, "text", "sketch").withColumn("n_chars", F.length("text").cast("long"))
+    return with_sketch(base, "text", "sketch")
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,7 +107,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Texts are exchanged once by id, and half of each once more to the document
     before it; nothing is sorted globally.
     """
-    rows = fingerprints(docs, id_col, text_col)
+    rows = fingerprints(docs, id_col, text_col)  # the same columns on both sides below, so that one exchange serves both
     raw = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("__id"), F.coalesce(F.length(F.col(f"`{text_col}`")), F.lit(0)).alias("n"))
     ids = next_ids(raw.groupBy("__id").agg(F.floor(F.max("n") / 2).cast("int").alias("half")), "__id")
     before = ids.select(F.col("next_id").alias("__id"), F.col("__id").alias("before_id"), F.col("half").alias("before_half"))
@@ -117,9 +117,10 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .groupBy("__id").agg(F.min("v").alias("v"))
     )
     both = rows.join(halves, "__id")
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("v.start"), F.lit(1), half))
-    both = both.select("__id", "text", "n_chars", "sketch", edited.alias("edited"), F.col("v.sketch").alias("next_sketch"))
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("v.start"), F.lit(1), half))
+    both = both.select("__id", "text", n.cast("long").alias("n_chars"), "sketch", edited.alias("edited"), F.col("v.sketch").alias("next_sketch"))
     return with_sketch(both, "edited", "edited_sketch")
 
 
