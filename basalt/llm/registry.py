@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op9_bpe
 from .fingerprint import op7_fingerprint
 from .licenses import op4_license_scan
 from .media import op2_media
+from .near_duplicates import op3_near_duplicates
 from .packing import op6_packing
 from .quality import op8_quality
 from .substring_dedup import op10_substring_dedup
@@ -21,12 +24,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_media": op2_media,
+        "op3_near_duplicates": op3_near_duplicates,
         "op4_license_scan": op4_license_scan,
         "op5_warc": op5_warc,
         "op6_packing": op6_packing,
         "op7_fingerprint": op7_fingerprint,
         "op8_quality": op8_quality,
+        "op9_bpe": op9_bpe,
         "op10_substring_dedup": op10_substring_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
