@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that a document with a smaller id has; a text
     without such passages is unchanged."""
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     out = substring_dedup(docs, keep=rest).withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
