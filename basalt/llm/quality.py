@@ -193,10 +193,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model([r["__text"] for r in rows], y("good"), y("toxic"))
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``__good`` and ``__toxic``, the document's own log-odds."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
+    out = [i for i, c in enumerate(names) if keep_text or c != text_col]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
@@ -205,9 +206,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 part = b.slice(at, 512)
                 texts = [t or "" for t in part.column(names.index(text_col)).to_pylist()]
                 good, toxic = shared.value.logits(texts, cache)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(good, pa.float64()), pa.array(toxic, pa.float64())], names=[*names, "__good", "__toxic"])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in out], pa.array(good, pa.float64()), pa.array(toxic, pa.float64())], names=[*[names[i] for i in out], "__good", "__toxic"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__good", T.DoubleType()), T.StructField("__toxic", T.DoubleType())])
+    schema = T.StructType([*[docs.schema.fields[i] for i in out], T.StructField("__good", T.DoubleType()), T.StructField("__toxic", T.DoubleType())])
     return docs.mapInArrow(score, schema)
 
 
@@ -252,30 +253,33 @@ def site_posteriors(rows: DataFrame) -> tuple[DataFrame, dict[str, float], int]:
     return out.select("__host", "__path", *[f"__site_{h}" for h in heads]), mean, int(whole["sites"])
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``p_good``, ``p_toxic`` (posteriors) and ``keep``."""
-    columns = docs.columns
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``p_good``, ``p_toxic`` (posteriors) and ``keep``.
+
+    Texts are scored once; the scores are written, and with ``keep_text`` the
+    texts with them, before sites are summed up and joined.
+    """
+    columns = [c for c in docs.columns if c not in ("p_good", "p_toxic", "keep") and (keep_text or c != text_col)]
     model = fit(docs, labels, id_col, text_col)
-    rows = docs.withColumns({"__host": host, "__path": path})
-    narrow = scored(rows.select(F.col(f"`{text_col}`").alias("__text"), "__host", "__path"), model, "__text")
-    sites, mean, n_sites = site_posteriors(narrow.select("__host", "__path", "__good", "__toxic"))
+    rows = durable(scored(docs.withColumns({"__host": host, "__path": path}), model, text_col, keep_text))
+    sites, mean, n_sites = site_posteriors(rows.select("__host", "__path", "__good", "__toxic"))
     sites = sites.withColumnsRenamed({"__host": "__h", "__path": "__p"})
     if n_sites <= BROADCAST_SITES:
         sites = F.broadcast(sites)
-    out = scored(rows, model, text_col).join(sites, F.col("__host").eqNullSafe(F.col("__h")) & F.col("__path").eqNullSafe(F.col("__p")), "left")
+    out = rows.join(sites, F.col("__host").eqNullSafe(F.col("__h")) & F.col("__path").eqNullSafe(F.col("__p")), "left")
+    p = {}
     for h in ("good", "toxic"):
         prior = math.log(max(mean[h], 1e-6) / max(1 - mean[h], 1e-6))
-        out = out.withColumn(f"p_{h}", _sigmoid(F.col(f"__{h}") + _logit(F.col(f"__site_{h}")) - F.lit(prior)))
-    fresh = {c: out[c] for c in ("p_good", "p_toxic")}
-    keep = (fresh["p_good"] >= 0.5) & (fresh["p_toxic"] < 0.5)
-    return out.select(*[F.col(f"`{c}`") for c in columns if c not in ("p_good", "p_toxic", "keep")], "p_good", "p_toxic", keep.alias("keep"))
+        p[h] = _sigmoid(F.col(f"__{h}") + _logit(F.col(f"__site_{h}")) - F.lit(prior))
+    keep = (p["good"] >= 0.5) & (p["toxic"] < 0.5)
+    return out.select(*[F.col(f"`{c}`") for c in columns], p["good"].alias("p_good"), p["toxic"].alias("p_toxic"), keep.alias("keep"))
 
 
-def classify_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def classify_documents(docs: DataFrame, labels: DataFrame, keep_text: bool = True) -> DataFrame:
     """Documents by source (the host) and by language within it (the path)."""
-    return classify(docs, labels, F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang")))
+    return classify(docs, labels, F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang")), keep_text=keep_text)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return classify_documents(docs, labels).select("doc_id", "p_good", "p_toxic", "keep")
+    return classify_documents(docs, labels, keep_text=False).select("doc_id", "p_good", "p_toxic", "keep")
