@@ -126,3 +126,12 @@ class Builder:
         if payloads and not keys:
             raise ValueError("payload columns need keys")
         return HashGroupBy(child, _names(keys), _names(payloads), tuple(aggregates))
+
+
+def scanned_tables(plan: RelOp) -> set[str]:
+    """Names of the tables that a plan reads."""
+    if isinstance(plan, Scan):
+        return {plan.table}
+    if isinstance(plan, HashJoin):
+        return scanned_tables(plan.build) | scanned_tables(plan.probe)
+    return scanned_tables(plan.child)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators.sort import sort
 from .plans import Builder, assign, column, constant, function, lower
-from .plans.nodes import RelOp
+from .plans.nodes import RelOp, scanned_tables
 from .sources import load_star_schema
 
 B = Builder()
@@ -446,13 +446,14 @@ def _():
 
 
 def run(name: str, spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return lower(PLANS[name][0](), load_star_schema(spark, sf_dir), **options).df
+    plan = PLANS[name][0]()
+    return lower(plan, load_star_schema(spark, sf_dir, sorted(scanned_tables(plan))), **options).df
 
 
 def sorted_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-key ordering: balance descending, then key ascending."""
     plan = B.scan("customer", ["c_custkey", "c_acctbal"])
-    return sort(lower(plan, load_star_schema(spark, sf_dir)).df, [("c_acctbal", False), ("c_custkey", True)])
+    return sort(lower(plan, load_star_schema(spark, sf_dir, ["customer"])).df, [("c_acctbal", False), ("c_custkey", True)])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
