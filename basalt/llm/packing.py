@@ -43,7 +43,7 @@ def grid(n: Column) -> Column:
     """Lengths that are counted together: n itself below ``EXACT``."""
     bits = F.floor(F.log2(n.cast("double"))).cast("int")
     shift = F.greatest(bits - F.lit(EXACT.bit_length() - 2), F.lit(0))
-    return F.when(n < EXACT, n).otherwise(F.expr("0") + F.call_function("shiftright", n, shift) * F.pow(F.lit(2.0), shift).cast("long"))
+    return F.when(n < EXACT, n).otherwise(F.call_function("shiftright", n, shift) * F.pow(F.lit(2.0), shift).cast("long"))
 
 
 def optimal_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
