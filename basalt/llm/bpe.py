@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 SLOTS = 8192
 NONE = 2**31 - 1
 #: Characters of a chunk's texts, one document at least.
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 32 << 20
 FILE = "byte_bpe_multi_50k.tiktoken"
 
 
