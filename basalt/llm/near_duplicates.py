@@ -298,7 +298,8 @@ class Join:
         rows = self.reps.select("v", G, "copies", F.xxhash64("v").alias("key"), F.posexplode("labels").alias("tree", "label"))
         buckets = rows.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("leader")).where("n > 1").drop("n")
         held = durable(rows.drop("key").join(buckets, ["tree", "label"]).drop("label"))
-        members = held.select("v", "leader").distinct().groupBy("leader").agg(F.count(F.lit(1)).alias("members"))
+        # written, so that the join below reads two plain exchanges and a leader of very many can be split
+        members = durable(held.select("v", "leader").distinct().groupBy("leader").agg(F.count(F.lit(1)).alias("members")))
         replies = held.join(members, "leader").groupBy(G, "v", "copies").agg(F.collect_list(F.struct("tree", "leader", "members")).alias("held")).select(G, "v", "copies", "held")
         shipped = self.by_group.groupBy(G).cogroup(replies.groupBy(G)).applyInArrow(_ship(SHINGLE, partitions, block), ASK)
         found = durable(shipped.groupBy("__p").applyInArrow(_verify(threshold), "v binary, root binary, links long"))
