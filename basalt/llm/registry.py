@@ -7,6 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .bpe import op9_bpe
 from .fingerprint import op7_fingerprint
 from .licenses import op4_license_scan
@@ -38,5 +39,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_dedup": oracles.SUFFIX_DEDUP,
+        "op3_near_duplicates": oracles.NEAR_DUPLICATES,
         "op5_warc": WARC_SQL,
+        "op10_substring_dedup": oracles.SUBSTRING_DEDUP,
     }
