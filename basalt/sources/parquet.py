@@ -17,7 +17,7 @@ STAR_SCHEMA: dict[str, dict[str, str]] = {
     "supplier": {"s_suppkey": "bigint", "s_name": "char(25)", "s_nationkey": "integer", "s_acctbal": "decimal(15,2)"},
     "customer": {"c_custkey": "bigint", "c_name": "varchar(25)", "c_nationkey": "integer", "c_acctbal": "decimal(15,2)", "c_mktsegment": "char(10)"},
     "part": {"p_partkey": "bigint", "p_name": "varchar(55)", "p_brand": "char(10)", "p_type": "varchar(25)", "p_size": "integer", "p_retailprice": "decimal(8,2)"},
-    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "char(1)", "o_totalprice": "decimal(15,2)", "o_orderdate": "date", "o_orderpriority": "char(15)"},
+    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "char(1)", "o_totalprice": "decimal(10,2)", "o_orderdate": "date", "o_orderpriority": "char(15)"},
     "lineitem": {
         "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "integer",
         "l_quantity": "decimal(4,2)", "l_extendedprice": "decimal(8,2)", "l_discount": "decimal(2,2)", "l_tax": "decimal(2,2)",

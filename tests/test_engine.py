@@ -192,3 +192,10 @@ def test_plan_over_stream(spark, tmp_path):
     query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     got = {r[0]: r[1] for r in spark.read.parquet(out).groupBy("user_id").agg(F.sum("n")).collect()}
     assert got == {r[0]: r[1] for r in events.groupBy("user_id").count().collect()}
+
+
+def test_scaling_rounds_ties_away(spark):
+    values = [0.07, 0.125, 0.135, -0.125, 2.675, 1e6, -0.07, 0.0]
+    c = Catalog(spark)
+    c.add("x", spark.createDataFrame([(v,) for v in values], "a double"), {"a": "decimal(12,2)"})
+    assert [r[0] for r in c.table("x").scan(["a"]).collect()] == [r[0] for r in c.table("x").df.select(F.round(F.col("a") * 100).cast("long")).collect()]
