@@ -26,7 +26,7 @@ FRACTION = 1 / 8
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Ranges of ids that are ordered apart; at most this many.
 MAX_RANGES = 4096
-RANGE_ROWS = 250_000
+RANGE_ROWS = 1_000
 _NULL_ID = -(2**63)
 
 
@@ -67,7 +67,7 @@ def next_ids(ids: DataFrame, id_col: str) -> DataFrame:
     id of each range, at most ``MAX_RANGES`` rows, is seen by the other ranges.
     """
     rows = ids.count()
-    ranges = max(1, min(MAX_RANGES, math.ceil(rows / RANGE_ROWS) * 4))
+    ranges = max(1, min(MAX_RANGES, math.ceil(rows / RANGE_ROWS)))
     cuts: list[int] = []
     if ranges > 1:
         found = ids.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("c")).first()[0]
