@@ -79,8 +79,21 @@ def window_hashes(words: np.ndarray, at: np.ndarray, size: int, which: int = 0)
 
 
 def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
-    """Which of ``n`` places lie in a window of ``size`` at one of ``starts``."""
-    d = np.zeros(n + 1, np.int32)
-    np.add.at(d, starts, 1)
-    np.add.at(d, np.minimum(starts + size, n), -1)
-    return np.cumsum(d[:-1]) > 0
+    """Which of ``n`` places lie in a window of ``size`` at one of ``starts`` (ascending)."""
+    out = np.zeros(n, bool)
+    if len(starts):
+        cut = np.flatnonzero(np.diff(starts) > size) + 1
+        first = starts[np.concatenate([[0], cut])]
+        last = starts[np.concatenate([cut - 1, [len(starts) - 1]])] + size
+        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+            out[a:b] = True
+    return out
+
+
+def counted(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many flags are set between each bound and the next."""
+    out = np.zeros(len(bounds) - 1, np.int64)
+    some = np.flatnonzero(bounds[1:] > bounds[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(flags.view(np.uint8), bounds[some], dtype=np.int64)
+    return out

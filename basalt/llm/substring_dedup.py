@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import groups as g_
 from .groups import ASK, ANSWER, G, ID, Split, Texts
-from .hashing import Words, covered, window_hashes
+from .hashing import Words, counted, covered, window_hashes
 
 WINDOW = 13
 #: Bytes of text whose temporary arrays exist at a time.
@@ -191,7 +191,7 @@ def _remove(window: int, partitions: int, names: list[str]):
         later |= x.texts.ids[x.doc[at]] > ids[place]
         gone = covered(len(x.words), at[later], window)
         n_words = np.diff(x.first)
-        n_gone = np.add.reduceat(np.append(gone, False), x.first[:-1], dtype=np.int64) * (n_words > 0) if len(x.texts) else n_words
+        n_gone = counted(gone, x.first)
         kept = [_kept(x.texts.bytes_of(i), gone[x.first[i] : x.first[i + 1]]) if n_gone[i] else None for i in range(len(x.texts))]
         t = x.table
         whole = t.column(g_.TEXT).to_pylist()

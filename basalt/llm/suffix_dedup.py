@@ -35,7 +35,7 @@ from xxhash import xxh3_64_intdigest
 
 from . import groups as g_
 from .groups import ANSWER, ASK, G, ID, Split, Texts
-from .hashing import BYTE, covered, mix
+from .hashing import BYTE, counted, covered, mix
 from .hashing import WINDOW as ODD
 
 WINDOW = 100
@@ -373,9 +373,8 @@ def _cut(window: int, partitions: int, names: list[str]):
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
         edge |= gone & _at(t.offsets[:-1], len(gone))
-        sums = lambda v: np.diff(np.concatenate([[0], np.cumsum(v, dtype=np.int64)])[t.offsets])
         kept = [t.data[a:b][~gone[a:b]].tobytes() for a, b in zip(t.offsets[:-1].tolist(), t.offsets[1:].tolist(), strict=True)]
-        out = {ID: x.table.column(ID), "n_bytes": pa.array(np.diff(t.offsets), pa.int64()), "n_removed": pa.array(sums(gone), pa.int64()), "n_spans": pa.array(sums(edge), pa.int64()), "kept": pa.array(kept, pa.binary())}
+        out = {ID: x.table.column(ID), "n_bytes": pa.array(np.diff(t.offsets), pa.int64()), "n_removed": pa.array(counted(gone, t.offsets), pa.int64()), "n_spans": pa.array(counted(edge, t.offsets), pa.int64()), "kept": pa.array(kept, pa.binary())}
         return pa.table(out | {n: x.table.column(n) for n in names if n.startswith("__k")}).select(names)
 
     return cut
