@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,10 @@ from . import nodes as N
 from .pushdown import implied
 
 
+#: Bound of a count, where no table is counted for it.
+MOST_ROWS = 2**40
+
+
 @dataclass(frozen=True)
 class Value:
     """A lowered expression: its Column, its range, and if it is a truth value."""
@@ -38,11 +43,12 @@ class Value:
 
 @dataclass(frozen=True)
 class Lowered:
-    """A lowered plan: rows, the range of each column, and a row bound."""
+    """A lowered plan: rows, the range of each column, and a row bound, which
+    is only asked for (and tables only counted) where a sum needs its type."""
 
     df: DataFrame
     domains: dict[str, Domain]
-    rows: int
+    rows: Callable[[], int]
 
     @property
     def columns(self) -> list[str]:
@@ -109,7 +115,7 @@ def _scan(n: N.Scan, catalog: Catalog, filters: list[N.Expr] = ()) -> Lowered:
     if unknown := set(n.columns) - set(t.columns):
         raise KeyError(f"{n.table} has no column {sorted(unknown)}")
     implied_filters = [c for f in filters for c in implied(t, f)]
-    return Lowered(t.scan(n.columns, implied_filters), {c: t.columns[c].domain for c in n.columns}, t.rows)
+    return Lowered(t.scan(n.columns, implied_filters), {c: t.columns[c].domain for c in n.columns}, lambda: t.rows)
 
 
 def _select(n: N.Select, catalog: Catalog) -> Lowered:
@@ -146,7 +152,7 @@ def _join(n: N.HashJoin, catalog: Catalog) -> Lowered:
     df = (at_most_one if n.fk1 else inner)(probe, b.df, keys, list(dict.fromkeys(n.build_payloads)))
     domains = {hidden.get(c, c): d for c, d in p.domains.items()}
     domains |= {c: b.domains.get(c) for c in taken}
-    return Lowered(df, domains, p.rows if n.fk1 else max(1, p.rows) * max(1, b.rows))
+    return Lowered(df, domains, p.rows if n.fk1 else lambda: max(1, p.rows()) * max(1, b.rows()))
 
 
 def _group(n: N.HashGroupBy, catalog: Catalog) -> Lowered:
@@ -157,7 +163,8 @@ def _group(n: N.HashGroupBy, catalog: Catalog) -> Lowered:
         if a.value.name not in AGGREGATES:
             raise KeyError(f"unknown aggregate {a.value.name!r}")
         fn, arg = AGGREGATES[a.value.name], evaluate(a.value.args[0], env)
-        domains[a.name] = fn.domain(arg.domain, max(1, x.rows))
+        rows = max(1, x.rows()) if a.value.name == "sum" else MOST_ROWS
+        domains[a.name] = fn.domain(arg.domain, rows)
         aggs.append(fn.build(arg.col, domains[a.name]).alias(a.name))
     if not n.keys:
         df = global_aggregate(x.df, aggs, [a.name for a in n.aggregates])
@@ -165,7 +172,7 @@ def _group(n: N.HashGroupBy, catalog: Catalog) -> Lowered:
         df = distinct_keys(x.df, n.keys)
     else:
         df = grouped(x.df, n.keys, n.payloads, aggs)
-    return Lowered(df, domains, x.rows if n.keys else 1)
+    return Lowered(df, domains, x.rows if n.keys else lambda: 1)
 
 
 _RULES = {N.Scan: _scan, N.Select: _select, N.Project: _project, N.HashJoin: _join, N.HashGroupBy: _group}
