@@ -43,7 +43,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("apache2-use", r"you may not use this file except in compliance with the license"),
     ("apache2-copy", r"you may obtain a copy of the license at\b.*"),
     ("apache2-warranty", r"unless required by applicable law or agreed to in writing software distributed under the license\b.*"),
-    ("gpl-header", r"this (?:program|library|file) is free software you can redistribute it and or modify it under the terms of the gnu (?P<name>lesser |affero |)general public license\b.*"),
+    ("gpl-header", r"this (?:program|library|file) is free software you can redistribute it and or modify it under the terms of the gnu (?P<name>(?:lesser |affero |)general public license(?: as published by the free software foundation)?(?:(?: either)? version [\d.]+)?(?: of the license)?(?: as published by the free software foundation)?(?: or at your option any later version)?)\b.*"),
     ("gpl-ref", r"(?:this \w+ is |\w+ is )?(?:released|licensed|distributed) under (?:the )?(?:terms of the )?gnu (?P<name>(?:lesser |affero |)general public license(?: version [123](?:\.\d)?)?(?: or later)?)"),
     ("mpl-ref", r"this source code form is subject to the terms of the mozilla public license v 2\.0"),
     ("cc-ref", r"(?:this \w+ is |\w+ is )?(?:released|licensed|distributed|available) under (?:a |the )?(?:creative commons |cc )(?P<name>by(?: nc)?(?: sa| nd)? \d\.\d|0(?: \d\.\d)?)"),
@@ -74,6 +74,8 @@ RULES: list[tuple[tuple[str, ...], str]] = [
 ]
 _PATTERNS = [(k, re.compile(p)) for k, p in SENTENCES]
 _END = re.compile(r"[.!?;](?=\s|$)|(?<![Ii]dentifier):(?=\s|$)|\n\s*\n")
+#: End marks inside known sentences.
+_INSIDE = re.compile(r"(?i)\bfree\s+software[;:](?=\s+you\s+can\s+redistribute)|\bsoftware\s+foundation[;:](?=\s+(?:either\s+)?version)|\bv\.(?=\s+\d)")
 #: A tag ends with its line, whatever follows.
 _SPDX = re.compile(r"(?im)^(.*spdx-license-identifier:.*)$")
 _COMMENT = re.compile(r"^[ \t]*(?://+|/?\*+/?|#+|;+|--+|<!--|rem\b)?", re.M)
@@ -105,8 +107,9 @@ def recognised(text: str) -> list[tuple[str, str]]:
         return []
     out = []
     text = _SPDX.sub(r"\n\n\1\n\n", _COMMENT.sub("", text))
+    inside = {m.end() - 1 for m in _INSIDE.finditer(text)}
     at = 0
-    for m in [*_END.finditer(text), None]:
+    for m in [*(m for m in _END.finditer(text) if m.start() not in inside), None]:
         part = text[at : m.start() if m else len(text)]
         at = m.end() if m else len(text)
         low = part.lower()
@@ -134,7 +137,7 @@ def recognised(text: str) -> list[tuple[str, str]]:
 
 def _name(template: str, stated: str) -> str:
     if template == "{name}":
-        m = re.fullmatch(r"(lesser |affero |)(?:general public license)?(?: version ([\d.]+))?( or later)?", stated)
+        m = re.fullmatch(r"(lesser |affero |)(?:general public license)?(?: as published by the free software foundation)?(?:(?: either)? version ([\d.]+))?(?: of the license)?(?: as published by the free software foundation)?( or later| or at your option any later version)?", stated)
         if m:
             kind = {"lesser ": "LGPL", "affero ": "AGPL", "": "GPL", "lesser": "LGPL", "affero": "AGPL"}[m[1]]
             return kind + (f"-{m[2] if '.' in m[2] else m[2] + '.0'}" if m[2] else "") + ("-or-later" if m[3] else "")

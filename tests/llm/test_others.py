@@ -99,6 +99,36 @@ def test_licenses(text, found):
     assert licenses.matched(licenses.recognised(text)) == found
 
 
+GNU = """{c} This {what} is free software{a} you can redistribute it and/or modify
+{c} it under the terms of the GNU {kind}General Public License as published by
+{c} the Free Software Foundation{b} either version {v} of the License, or
+{c} (at your option) any later version.
+{c}
+{c} This {what} is distributed in the hope that it will be useful,
+{c} but WITHOUT ANY WARRANTY; without even the implied warranty of
+{c} MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+{c} GNU {kind}General Public License for more details.
+"""
+MPL = """{c} This Source Code Form is subject to the terms of the Mozilla Public
+{c} License, v. 2.0. If a copy of the MPL was not distributed with this
+{c} file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+@pytest.mark.parametrize("c", ["", " *", "#", "//"])
+def test_license_headers_with_inner_end_marks(c):
+    for what, a, b, kind, v, name in (
+        ("program", ";", ";", "", "2", "GPL-2.0-or-later"), ("program", ":", ",", "", "3", "GPL-3.0-or-later"), ("library", ";", ";", "Lesser ", "2.1", "LGPL-2.1-or-later"),
+        ("program", ":", ",", "Lesser ", "3", "LGPL-3.0-or-later"), ("program", ":", ",", "Affero ", "3", "AGPL-3.0-or-later"),
+    ):
+        ids = licenses.recognised(GNU.format(c=c, what=what, a=a, b=b, kind=kind, v=v))
+        assert ids[0][0] == "gpl-header" and licenses.matched(ids) == [name]
+    assert licenses.recognised(MPL.format(c=c)) == [("mpl-ref", "")] and licenses.matched([("mpl-ref", "")]) == ["MPL-2.0"]
+    flat = " ".join(GNU.format(c="", what="program", a=";", b=";", kind="", v="2").split())
+    assert licenses.matched(licenses.recognised(flat)) == ["GPL-2.0-or-later"]
+    assert licenses.matched(licenses.recognised("This tool is free software; released under the MIT License.")) == ["MIT"]
+
+
 def test_license_columns(docs, rows, empty, spark):
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([(1, MIT), (2, None), (3, "a license we do not know.")], "doc_id long, text string")).collect()}
     assert got[1].licenses == ["MIT"] and got[2].licenses == [] and got[3].sentences == [licenses.UNKNOWN]
