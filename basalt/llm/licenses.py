@@ -13,6 +13,8 @@ comment marks; ties between rules go to the earlier rule.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -73,6 +75,11 @@ RULES: list[tuple[tuple[str, ...], str]] = [
     (("reserved",), "all-rights-reserved"),
 ]
 _PATTERNS = [(k, re.compile(p)) for k, p in SENTENCES]
+#: Words from the start of a line within which a wrapped sentence is known; many times the longest pattern.
+RUN_WORDS = 256
+RUN_LINES = 12
+#: (identifier, whole pattern, its beginning, whether any end may follow that, whether it has a gap)
+_WRAPPED = [(k, re.compile(p), re.compile(p.removesuffix(".*").replace(".*", ".*?")), p.endswith(".*"), ".*" in p.removesuffix(".*")) for k, p in SENTENCES]
 _END = re.compile(r"[.!?;](?=\s|$)|(?<![Ii]dentifier):(?=\s|$)|\n\s*\n")
 #: End marks inside known sentences.
 _INSIDE = re.compile(r"(?i)\bfree\s+software[;:](?=\s+you\s+can\s+redistribute)|\bsoftware\s+foundation[;:](?=\s+(?:either\s+)?version)|\bv\.(?=\s+\d)")
@@ -96,6 +103,36 @@ def sentence_id(sentence: str) -> tuple[str, str] | None:
     return None
 
 
+def wrapped(lines: list[str]) -> list[tuple[str, str]]:
+    """Known sentences that begin and end with lines, from normalised lines.
+
+    A sentence may take any number of lines within ``RUN_WORDS`` words. One
+    whose end is open takes the line in which what is known of it ends.
+    """
+    text = " ".join(lines)
+    ends = list(itertools.accumulate(len(x) + 1 for x in lines))
+    words = list(itertools.accumulate(x.count(" ") + 1 for x in lines))
+    found, i = [], 0
+    while i < len(lines):
+        at = ends[i] - len(lines[i]) - 1
+        last = max(bisect.bisect_right(words, (words[i - 1] if i else 0) + RUN_WORDS), min(len(lines), i + RUN_LINES))
+        for key, pattern, head, is_open, gap in _WRAPPED:
+            m = head.match(text, at, ends[last - 1] - 1)
+            if not m:
+                continue
+            j = bisect.bisect_left(ends, m.end() + 1)
+            if not is_open:
+                # the longest run that is the whole sentence, or the shortest if anything may stand inside
+                runs = range(i, last) if gap else range(j, i - 1, -1)
+                j, m = next(((j, m) for j in runs if (m := pattern.fullmatch(text, at, ends[j] - 1))), (j, None))
+            if m:
+                found.append((key, (m.groupdict().get("name") or "").strip()))
+                i = j
+                break
+        i += 1
+    return found
+
+
 def recognised(text: str) -> list[tuple[str, str]]:
     """Identifiers of a text's sentences about licensing, in order.
 
@@ -115,22 +152,13 @@ def recognised(text: str) -> list[tuple[str, str]]:
         low = part.lower()
         if not any(t in low for t in TRIGGERS):
             continue
-        whole = sentence_id(normalised(part))
-        if whole:
+        lines = [x for x in map(normalised, part.split("\n")) if x]
+        whole = sentence_id(" ".join(lines))
+        # a copyright line ends with its line
+        if whole and (whole[0] != "notice" or len(lines) == 1):
             out.append(whole)
             continue
-        lines = [x for x in part.split("\n") if x.strip()]
-        found, i = [], 0
-        while i < len(lines):
-            # the longest run of lines from here that is a known sentence
-            for j in range(min(len(lines), i + 12), i, -1):
-                known = sentence_id(normalised(" ".join(lines[i:j])))
-                if known:
-                    found.append(known)
-                    i = j
-                    break
-            else:
-                i += 1
+        found = wrapped(lines)
         out += found or [(UNKNOWN, "")]
     return out
 

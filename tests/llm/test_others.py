@@ -129,6 +129,19 @@ def test_license_headers_with_inner_end_marks(c):
     assert licenses.matched(licenses.recognised("This tool is free software; released under the MIT License.")) == ["MIT"]
 
 
+def test_license_sentences_wrapped_over_many_lines():
+    narrow = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    notice = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    for head in ("", "A title\n", "Copyright (c) 2020 The Authors\n", "A title\nCopyright 2020 The Authors\n"):
+        for n in (1, 2, 3, 9):
+            ids = lambda t: [k for k, _ in licenses.recognised(head + narrow(t, n)) if k != "notice"]  # noqa: B023,E731
+            assert ids(notice) == ["mit-notice"]
+            assert ids(ENDORSE.removeprefix("3. ")) == ["bsd-endorse"]
+            assert licenses.matched(licenses.recognised(head + narrow(GNU.format(c="", what="program", a=";", b=";", kind="", v="2"), n))) == ["GPL-2.0-or-later"]
+    assert [k for k, _ in licenses.recognised("Copyright 2020 A\n" + "row of a table\n" * 20 + "Released under the MIT License")] == ["notice", "mit-ref"]
+    assert licenses.recognised("our license\n" + "cell\n" * 50) == [(licenses.UNKNOWN, "")]
+
+
 def test_license_columns(docs, rows, empty, spark):
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([(1, MIT), (2, None), (3, "a license we do not know.")], "doc_id long, text string")).collect()}
     assert got[1].licenses == ["MIT"] and got[2].licenses == [] and got[3].sentences == [licenses.UNKNOWN]
