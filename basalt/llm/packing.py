@@ -5,10 +5,11 @@ all lengths, dynamic programming finds the at most ``BUCKETS`` boundaries with
 the least total padding. Inside each bucket documents form batches whose padded
 size stays within a token budget.
 
-The histogram reaches the driver on a grid that is exact below ``EXACT`` tokens
-and finer than 1/2000 of the length beyond, so it has some ten thousand bins at
-most whatever the data are; each bin's bound is its longest real length, so no
-document is ever longer than its bucket. Documents are numbered within shards
+The histogram reaches the driver with every distinct length below ``EXACT``
+tokens, and on a grid finer than 1/130,000 of the length beyond. A corpus of k
+distinct lengths has k * k / 2 tokens at least, so 100,000 bins need some 30 GB
+of text; each bin's bound is its longest real length, so no document is ever
+longer than its bucket. Documents are numbered within shards
 of a bucket and the shards' counts are added up, so no bucket is sorted in one
 place.
 
@@ -28,7 +29,7 @@ from .storage import durable
 
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
-EXACT = 4096
+EXACT = 1 << 18
 SHARD_ROWS = 50_000
 #: Rows up to which the shards' offsets are broadcast.
 BROADCAST_SHARDS = 100_000

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basalt.llm import bpe, fingerprint, licenses, media, packing, quality, warc
-from basalt.llm.storage import new_folder
+from basalt.llm.storage import durable, new_folder
 
 from ..oracle import connect, expected, rows_of
 
@@ -228,6 +228,13 @@ def test_packing(spark, docs, rows, empty, monkeypatch):
         assert r.g == r.n if r.n < 4096 else r.g <= r.n < r.g * (1 + 1 / 2000)
 
 
+def test_bounds_of_long_texts_are_exact(spark):
+    lengths = [n for n in (8192, 8193, 8194, 8195, 70_001, 70_002, 200_000, 200_001) for _ in range(3)]
+    given = durable(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n long"))
+    got = packing.pack(given, "n", ["doc_id"], buckets=8).collect()
+    assert sorted(r.n for r in got) == lengths and all(r.bucket_length == r.n for r in got)
+
+
 # fingerprints -------------------------------------------------------------------
 
 
