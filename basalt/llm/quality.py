@@ -1,8 +1,9 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
 Two heads, *good* and *toxic*, give each document a log-odds. They are fitted
-on the driver from at most ``MAX_LABELLED`` labelled documents (those with the
-least hash of their id, and of at most ``MAX_FIT_CHARS`` characters): good from
+on the driver from at most ``MAX_LABELLED`` labelled documents that there are,
+those with the least hash of their id, until they have ``MAX_FIT_CHARS``
+characters together (one of over ``MAX_TEXT_CHARS`` is passed over): good from
 shape features, toxic from a hashed lexicon of words and word beginnings. Both
 models have a fixed size. Everything else covers all documents.
 
@@ -36,7 +37,8 @@ from pyspark.sql import types as T
 from .storage import durable
 
 MAX_LABELLED = 6_000
-MAX_FIT_CHARS = 20_000
+MAX_FIT_CHARS = 48_000_000
+MAX_TEXT_CHARS = 8_000_000
 #: Buckets of the lexicon; its size does not depend on the data.
 BUCKETS = 1 << 20
 #: Sites up to which their table is broadcast (some 10 MB); beyond, it is joined by exchange.
@@ -177,18 +179,27 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> Model:
     """A model from at most ``limit`` labelled documents."""
-    chosen = (
+    known = (
         labels.where(F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("__label_id"))
         .agg((F.avg("quality") > 0.5).alias("good"), (F.avg("toxic") >= 0.5).alias("toxic"))
         .where("good IS NOT NULL AND toxic IS NOT NULL")
-        .orderBy(F.xxhash64("__label_id"), "__label_id")
-        .limit(limit)
     )
-    texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
-    # at most ``limit`` rows are broadcast, and as many texts collected
-    rows = texts.join(F.broadcast(chosen), F.col("__id") == F.col("__label_id")).where(F.length("__text") <= MAX_FIT_CHARS).select("__id", "__text", "good", "toxic").collect()
-    rows = sorted(rows, key=lambda r: (r["__id"], r["__text"]))[: 2 * limit]
+    texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).where("__text IS NOT NULL")
+    # lengths only: which labelled ids have texts, and how many characters together
+    held = texts.select("__id", F.length("__text").cast("long").alias("n")).join(known, F.col("__id") == F.col("__label_id"))
+    held = held.groupBy("__label_id", "good", "toxic").agg(F.sum("n").alias("chars"), F.count(F.lit(1)).alias("copies"))
+    held = held.where((F.col("chars") <= MAX_TEXT_CHARS) & (F.col("copies") <= limit))
+    chosen, chars, copies = [], 0, 0
+    for r in held.orderBy(F.xxhash64("__label_id"), "__label_id").limit(limit).collect():
+        chars, copies = chars + r["chars"], copies + r["copies"]
+        if chars > MAX_FIT_CHARS or copies > 2 * limit:
+            break
+        chosen.append((r["__label_id"], r["good"], r["toxic"]))
+    picked = docs.sparkSession.createDataFrame(chosen, T.StructType([held.schema[c] for c in ("__label_id", "good", "toxic")]))
+    # at most ``limit`` rows are broadcast, and the texts of these ids collected
+    rows = texts.join(F.broadcast(picked), F.col("__id") == F.col("__label_id")).select("__id", "__text", "good", "toxic").collect()
+    rows = sorted(rows, key=lambda r: (r["__id"], r["__text"]))
     y = lambda k: np.array([r[k] for r in rows], float)
     return Model([r["__text"] for r in rows], y("good"), y("toxic"))
 

@@ -330,6 +330,20 @@ def test_quality_columns(spark, docs, rows, empty):
     assert quality.classify_documents(empty, labels).count() == 0
 
 
+def test_quality_sample_is_of_documents(spark, monkeypatch):
+    """Labels of no document take no place in the sample, and long texts are in it."""
+    monkeypatch.setattr(quality, "Model", lambda texts, good, toxic: (texts, good.tolist(), toxic.tolist()))
+    texts = {i: f"text {i} " * (4000 if i % 4 == 0 else 3) for i in range(20)}
+    docs = durable(spark.createDataFrame([*texts.items(), (3, None), (None, "x")], "doc_id long, text string"))
+    labels = durable(spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(3000)], "doc_id long, quality int, toxic int"))
+    assert quality.fit(docs, labels, limit=20) == ([texts[i] for i in range(20)], [float(i % 2) for i in range(20)], [float(i % 5 == 0) for i in range(20)])
+    assert len(quality.fit(docs, labels, limit=7)[0]) == 7
+    monkeypatch.setattr(quality, "MAX_FIT_CHARS", 100_000)
+    got = quality.fit(docs, labels, limit=20)[0]
+    assert got and sum(map(len, got)) <= 100_000
+    assert quality.fit(docs, labels.where("doc_id >= 20"), limit=20) == ([], [], [])
+
+
 def test_sites_are_shrunk(spark):
     rng = random.Random(5)
     rows = []
