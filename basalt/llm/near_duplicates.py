@@ -1,14 +1,15 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash LSH with fixed bands and exact verification.
 
 Documents are sets of five-word shingles; a link joins two different texts whose
 sets have a Jaccard similarity of ``THRESHOLD`` or more.
 
 * Equal texts are collapsed to the one with the least id, with a weight.
-* Each of ``TREES`` prefix tries holds, for every text, a sequence of
-  ``DEEPEST`` MinHash values; texts under one prefix are candidates. Prefixes
-  are shortened from the full length until the recall they promise at the
-  threshold, ``1 - (1 - s^depth)^trees``, reaches ``TARGET``. Sorting a trie by
-  prefix is an exchange by prefix: one bucket per inner node that is reached.
+* Each of ``TREES`` bands folds a text's first ``depth`` MinHash values of that
+  band into one label; texts with one label are candidates. The depth is the
+  largest up to ``DEEPEST`` whose recall at the threshold,
+  ``1 - (1 - s^depth)^trees``, reaches ``TARGET``: the same for all texts. This
+  stands in for an LSH forest; there are no tries, and no prefix is shortened
+  by what it matched.
 * A bucket is known by its least member, so the buckets that a group of near
   copies forms in many trees meet in one place, and each member's shingles
   travel there once. A bucket of more than ``BLOCK`` members is compared block
