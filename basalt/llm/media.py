@@ -2,9 +2,10 @@
 
 :func:`mux` stores bytes losslessly as 8-bit video samples (grey frames of
 ``FRAME`` bytes, codec ``raw ``) in an ISO base media file. :func:`probe` walks
-the nested boxes of any such file, decodes its sample tables, and gives codec,
+the nested boxes of such a file, decodes its sample tables, and gives codec,
 time scale, duration, and the byte ranges of keyframes; the payload itself is
-only read by :func:`sample_bytes`, through those tables.
+only read by :func:`sample_bytes`, through those tables. Fragmented files are
+not covered: their boxes are walked, but samples in ``moof`` are not decoded.
 
 Defined cases: a null payload is empty and stored as one frame of padding; a
 file without a movie box, or with a box that overruns its parent, has no
