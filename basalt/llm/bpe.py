@@ -32,6 +32,7 @@ import hashlib
 import json
 import math
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,10 +44,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .groups import text_bytes
-from .storage import durable
 
-#: Maps in the rank literal; a lookup compares some six keys.
-SLOTS = 8192
+#: Maps in the rank literal; a lookup compares one key or two.
+SLOTS = 65_536
 NONE = 2**31 - 1
 #: Characters of a chunk's texts, one document at least.
 CHUNK_CHARS = 32 << 20
@@ -226,6 +226,38 @@ def _buckets(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(of[order], np.arange(buckets + 1))
 
 
+class _Words:
+    """A chunk's distinct words, numbered as they come.
+
+    The pattern takes one space before a word and never matches over a space
+    between two other characters, so what stands between such spaces is split
+    once however often it occurs. A text with more white space at a space is
+    matched as a whole."""
+
+    def __init__(self, pattern: str):
+        self.find = regex.compile(pattern).findall
+        self.known: defaultdict[str, int] = defaultdict()
+        self.known.default_factory = self.known.__len__
+        self.parts: dict[str, tuple[int, ...]] = {}
+
+    def _numbered(self, text: str) -> list[int]:
+        return list(map(self.known.__getitem__, self.find(text)))
+
+    def places(self, text: str) -> list[int]:
+        first, *rest = text.split(" ")
+        if not rest or not first or first[-1].isspace():
+            return self._numbered(text)
+        out, parts = self._numbered(first), self.parts
+        for p in rest:
+            at = parts.get(p)
+            if at is None:
+                if not p or p[0].isspace() or p[-1].isspace():
+                    return self._numbered(text)
+                at = parts[p] = tuple(self._numbered(f" {p}"))
+            out += at
+        return out
+
+
 CHUNKS = "chunk long, ids array<long>, ends array<long>, places binary, words binary"
 
 
@@ -234,32 +266,32 @@ def chunks(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFra
     word places and the distinct words, packed."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
         schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("places", pa.binary()), ("words", pa.binary())])
         here, made = TaskContext.get().partitionId(), 0
 
         def row():
-            words = [w.encode() for w in known]
-            at = zstandard.compress(_planes(np.concatenate(places)), 1)
-            return pa.RecordBatch.from_pylist([{"chunk": (here << 32) + made, "ids": ids, "ends": ends, "places": at, "words": _packed(words)}], schema=schema)
-
-        ids, ends, places, known, chars, n = [], [], [], {}, 0, 0
+            at = np.concatenate(places)
+            # frequent words first: their places are small, which compresses better
+            order = np.argsort(-np.bincount(at, minlength=len(words.known)), kind="stable")
+            rank = np.empty(len(order), "<u4")
+            rank[order] = np.arange(len(order), dtype="<u4")
+            known = [w.encode() for w in words.known]
+            return pa.RecordBatch.from_pylist([{"chunk": (here << 32) + made, "ids": ids, "ends": ends, "places": zstandard.compress(_planes(rank[at]), 1), "words": _packed([known[i] for i in order.tolist()])}], schema=schema)
+
+        ids, ends, places, words, chars, n = [], [], [], _Words(pattern), 0, 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 t = t.as_py() or ""
-                words = find(t)
-                for w in words:
-                    if w not in known:
-                        known[w] = len(known)
-                places.append(np.fromiter(map(known.__getitem__, words), "<u4", len(words)))
-                n += len(words)
+                at = words.places(t)
+                places.append(np.array(at, "<u4"))
+                n += len(at)
                 ids.append(i)
                 ends.append(n)
                 chars += len(t)
                 if chars >= CHUNK_CHARS:
                     yield row()
                     made += 1
-                    ids, ends, places, known, chars, n = [], [], [], {}, 0, 0
+                    ids, ends, places, words, chars, n = [], [], [], _Words(pattern), 0, 0
         if ids:
             yield row()
 
@@ -340,8 +372,7 @@ def tokenize(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
     whole = chunks(docs, pattern, id_col, text_col).groupBy("chunk")  # one exchange, read by both uses
     asks = whole.applyInArrow(_ask(buckets), ASKS).groupBy("bucket")
     words = asks.applyInArrow(_distinct, "bucket int, words array<binary>")
-    # written before and after, so that the literal is in a plan of one stage
-    coded = durable(durable(words).withColumn("ids", encoded_words(F.col("words"), table)))
+    coded = words.withColumn("ids", encoded_words(F.col("words"), table))
     answers = asks.cogroup(coded.groupBy("bucket")).applyInArrow(_answer, "chunk long, bucket int, ids binary")
     schema = f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded binary" if keep_ids else "")
     return whole.cogroup(answers.groupBy("chunk")).applyInArrow(_gather(buckets, ranks, id_col, keep_ids), schema)
