@@ -226,38 +226,6 @@ def _buckets(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(of[order], np.arange(buckets + 1))
 
 
-class _Words:
-    """A chunk's distinct words, numbered as they come.
-
-    The pattern takes one space before a word and never matches over a space
-    between two other characters, so what stands between such spaces is split
-    once however often it occurs. A text with more white space at a space is
-    matched as a whole."""
-
-    def __init__(self, pattern: str):
-        self.find = regex.compile(pattern).findall
-        self.known: defaultdict[str, int] = defaultdict()
-        self.known.default_factory = self.known.__len__
-        self.parts: dict[str, tuple[int, ...]] = {}
-
-    def _numbered(self, text: str) -> list[int]:
-        return list(map(self.known.__getitem__, self.find(text)))
-
-    def places(self, text: str) -> list[int]:
-        first, *rest = text.split(" ")
-        if not rest or not first or first[-1].isspace():
-            return self._numbered(text)
-        out, parts = self._numbered(first), self.parts
-        for p in rest:
-            at = parts.get(p)
-            if at is None:
-                if not p or p[0].isspace() or p[-1].isspace():
-                    return self._numbered(text)
-                at = parts[p] = tuple(self._numbered(f" {p}"))
-            out += at
-        return out
-
-
 CHUNKS = "chunk long, ids array<long>, ends array<long>, places binary, words binary"
 
 
@@ -267,23 +235,29 @@ def chunks(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFra
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("places", pa.binary()), ("words", pa.binary())])
-        here, made = TaskContext.get().partitionId(), 0
+        here, made, find = TaskContext.get().partitionId(), 0, regex.compile(pattern).findall
+
+        def numbering() -> defaultdict[str, int]:
+            """Distinct words, numbered as they come."""
+            known: defaultdict[str, int] = defaultdict()
+            known.default_factory = known.__len__
+            return known
 
         def row():
             at = np.concatenate(places)
             # frequent words first: their places are small, which compresses better
-            order = np.argsort(-np.bincount(at, minlength=len(words.known)), kind="stable")
+            order = np.argsort(-np.bincount(at, minlength=len(known)), kind="stable")
             rank = np.empty(len(order), "<u4")
             rank[order] = np.arange(len(order), dtype="<u4")
-            known = [w.encode() for w in words.known]
-            return pa.RecordBatch.from_pylist([{"chunk": (here << 32) + made, "ids": ids, "ends": ends, "places": zstandard.compress(_planes(rank[at]), 1), "words": _packed([known[i] for i in order.tolist()])}], schema=schema)
+            words = [w.encode() for w in known]
+            return pa.RecordBatch.from_pylist([{"chunk": (here << 32) + made, "ids": ids, "ends": ends, "places": zstandard.compress(_planes(rank[at]), 1), "words": _packed([words[i] for i in order.tolist()])}], schema=schema)
 
-        ids, ends, places, words, chars, n = [], [], [], _Words(pattern), 0, 0
+        ids, ends, places, known, chars, n = [], [], [], numbering(), 0, 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 t = t.as_py() or ""
-                at = words.places(t)
-                places.append(np.array(at, "<u4"))
+                at = find(t)
+                places.append(np.fromiter(map(known.__getitem__, at), "<u4", len(at)))
                 n += len(at)
                 ids.append(i)
                 ends.append(n)
@@ -291,7 +265,7 @@ def chunks(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFra
                 if chars >= CHUNK_CHARS:
                     yield row()
                     made += 1
-                    ids, ends, places, words, chars, n = [], [], [], _Words(pattern), 0, 0
+                    ids, ends, places, known, chars, n = [], [], [], numbering(), 0, 0
         if ids:
             yield row()
 
