@@ -5,13 +5,17 @@ from __future__ import annotations
 import numpy as np
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-#: Random odd 64-bit coefficients by byte value and by place in a word.
+#: Random odd 64-bit coefficients by byte value and by place in a word (low and high 16 bits).
 BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLACE = _RNG.integers(1, 2**63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WINDOW = _RNG.integers(1, 2**63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BYTE_OF_WORD = np.where(SPACE, np.uint64(0), BYTE)
+#: The same for a second, independent hash.
+BYTE_2 = np.where(SPACE, np.uint64(0), _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+PLACE_2 = _RNG.integers(1, 2**63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FAR = _RNG.integers(1, 2**63, (2, 1 << 15), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -27,14 +31,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of documents laid end to end.
 
-    hash: of each word; start, end: byte bounds; first: index of the first
+    hash: of each word; hash2: with ``twice``, a second one that shares no
+    coefficient with it; start, end: byte bounds; first: index of the first
     word of each document, with a last entry for the end.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, twice: bool = False):
         n = len(data)
         if not n:
-            self.hash = np.zeros(0, np.uint64)
+            self.hash = self.hash2 = np.zeros(0, np.uint64)
             self.start = self.end = np.zeros(0, np.int64)
             self.first = np.zeros(len(offsets), np.int64)
             return
@@ -49,17 +54,22 @@ class Words:
         self.end = np.flatnonzero(last) + 1
         self.first = np.searchsorted(self.start, offsets)
         if not len(self.start):
-            self.hash = np.zeros(0, np.uint64)
+            self.hash = self.hash2 = np.zeros(0, np.uint64)
             return
         place = np.arange(n, dtype=np.int32)
         base = np.zeros(n, np.int32)
         base[self.start[1:]] = np.diff(self.start)
         base[self.start[0]] = self.start[0]
         place -= np.cumsum(base, dtype=np.int32)
-        place &= np.int32(len(PLACE) - 1)
-        v = BYTE_OF_WORD[data]
-        v *= PLACE[place]
-        self.hash = mix(np.add.reduceat(v, self.start) + (self.end - self.start).astype(np.uint64))
+        self.hash = self._hashed(data, place, BYTE_OF_WORD, PLACE, FAR[0])
+        self.hash2 = self._hashed(data, place, BYTE_2, PLACE_2, FAR[1]) if twice else None
+
+    def _hashed(self, data: np.ndarray, place: np.ndarray, of_byte: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        v = of_byte[data]
+        v *= near[place & np.int32(len(near) - 1)]
+        if (self.end - self.start).max() > len(near):
+            v *= far[place >> 16]  # no place has the coefficient of another
+        return mix(np.add.reduceat(v, self.start) + (self.end - self.start).astype(np.uint64))
 
     def windows(self, size: int) -> np.ndarray:
         """For each word, if ``size`` words of its document start there."""

@@ -9,20 +9,24 @@ remove what those maximal repeats cover.
 Two exchanges of packed hash sets do this (see ``groups``). In the first, a
 group sends the set of its rolling block hashes with a bit for those that are
 reference blocks; a hash is a hit if it is a reference block somewhere and two
-documents hold it. In the second, only windows around hits are compared, by 96
-bits, with the smallest document that holds each. No pairs are made: a passage
-that a third of all documents share is one entry per group.
+documents hold it. In the second, a hit is extended word by word as long as the
+window there is one that a smaller document has: windows around hits are
+compared with the smallest document that holds each, by 96 bits of two word
+hashes that share no coefficient. Neighbouring windows that are found so form a
+maximal exact repeat. No pairs are made: a passage that a third of all
+documents share is one entry per group.
 
 Defined cases: null texts have no words; documents shorter than a window are
-kept whole; a null id sorts first; rows that share an id count as one document
-for "smaller id", so they never remove words from each other; unused columns
-pass through. Very long words and texts are whole.
+kept whole; an empty table gives no rows; a null id sorts first; rows that share
+an id, repeated rows among them, count as one document for "smaller id" (so
+there are no ties), never remove words from each other, and are spread over
+groups; other columns pass through if they are in ``keep``, under any name but
+those of the result, and clash with no internal one. Words may have 2 GB, and a
+text is held whole in one task.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import groups as g_
-from .groups import ASK, ANSWER, G, ID, Split, Texts
+from .groups import ASK, G, ID, Sets, Split, Texts
 from .hashing import Words, counted, covered, window_hashes
 
 WINDOW = 13
@@ -38,25 +42,27 @@ WINDOW = 13
 STEP = 1 << 20
 #: Bits of the hashes in the index; false hits only cost a comparison.
 INDEX_BITS = 52
-#: Words (and so hashes) that a partition of the hash space is laid out for.
-PARTITION_WORDS = 3_000_000
+#: Bytes of text that a part of the hash space is laid out for.
+PARTITION_BYTES = 18 << 20
 
 
 class _Group:
     """A group's words and the hashes of its rolling blocks."""
 
-    def __init__(self, table: pa.Table, window: int):
+    def __init__(self, table: pa.Table, window: int, twice: bool = False):
         self.table = g_.ordered(table)
         self.texts = t = Texts(self.table)
         self.window, self.block = window, (window + 1) // 2
-        parts, first, at = [], [np.zeros(1, np.int64)], 0
+        parts, seconds, first, at = [], [], [np.zeros(1, np.int64)], 0
         for i, j in t.spans(STEP):
             lo, hi = t.offsets[i], t.offsets[j]
-            w = Words(t.data[lo:hi], t.offsets[i : j + 1] - lo)
+            w = Words(t.data[lo:hi], t.offsets[i : j + 1] - lo, twice)
             parts.append(w.hash)
+            seconds += [w.hash2] if twice else []
             first.append(w.first[1:] + at)
             at += len(w.hash)
         self.words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        self.second = np.concatenate(seconds) if seconds else None
         self.first = np.concatenate(first)
         self.doc = np.repeat(np.arange(len(t), dtype=np.int32), np.diff(self.first))
         stop = self.first[1:][self.doc]
@@ -80,18 +86,77 @@ class _Group:
     def longer(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct windows (two hashes) with their smallest id, and each one's place."""
         a = window_hashes(self.words, at, self.window, 0)
-        b = window_hashes(self.words, at, self.window, 1) >> np.uint64(32)
+        b = (window_hashes(self.second, at, self.window, 1) >> np.uint64(32)).astype(np.uint32)
         ids = self.texts.ids[self.doc[at]]
-        order = np.lexsort((ids, b, a))
-        new = np.ones(len(at), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        place = np.empty(len(at), np.int64)
-        place[order] = np.cumsum(new) - 1
-        lead = order[new]
+        lead, place = _leads(a, b, ids)
         return a[lead], b[lead], ids[lead], place
 
 
-def _index(window: int, partitions: int):
+class _Blocks(Sets):
+    """Block hashes: if one is a reference block, and if two documents hold it."""
+
+    def write(self, values, columns):
+        return g_.pack_sorted(values) + g_.pack_bits(columns[0]) + g_.pack_bits(columns[1])
+
+    def read(self, blob, n):
+        values, used = g_.unpack_sorted(blob, n)
+        return values, [g_.unpack_bits(blob, n, used), g_.unpack_bits(blob, n, used + (n + 7) // 8)]
+
+    def merge(self, values, columns):
+        h, place, times = np.unique(values, return_inverse=True, return_counts=True)
+        block, many = np.zeros(len(h), bool), times > 1
+        block[place[columns[0]]] = True
+        many[place[columns[1]]] = True
+        return h, [block, many], place
+
+    def decide(self, columns):
+        return [columns[0] & columns[1]]
+
+
+class _Windows(Sets):
+    """Window hashes with the smallest id; the answer is if a smaller one has it."""
+
+    number = 1
+
+    def write(self, values, columns):
+        b, ids = columns
+        low = ids.min()
+        away = (ids - low).astype("<u8")
+        width = max(1, (int(away.max()).bit_length() + 7) // 8)
+        return g_.pack_sorted(values) + b.astype("<u4").tobytes() + int(low).to_bytes(8, "little", signed=True) + bytes([width]) + away.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+    def read(self, blob, n):
+        values, used = g_.unpack_sorted(blob, n)
+        b = np.frombuffer(blob, "<u4", n, used)
+        used += 4 * n
+        low, width = int.from_bytes(blob[used : used + 8], "little", signed=True), blob[used + 8]
+        raw = np.zeros((n, 8), np.uint8)
+        raw[:, :width] = np.frombuffer(blob, np.uint8, n * width, used + 9).reshape(n, width)
+        return values, [b, raw.reshape(-1).view("<u8").astype(np.int64) + low]
+
+    def merge(self, values, columns):
+        b, ids = columns
+        lead, place = _leads(values, b, ids)
+        return values[lead], [b[lead], ids[lead]], place
+
+    def decide(self, columns):
+        return [np.zeros(len(columns[0]), bool)]
+
+    def spread(self, said, merged, columns, place):
+        return [said[0][place] | (merged[1][place] < columns[1])]
+
+
+def _leads(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each distinct (a, b), ascending, the entry with the least id, and each entry's place."""
+    order = np.lexsort((ids, b, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    place = np.empty(len(a), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], place
+
+
+def _index(window: int, blocks: _Blocks):
     def send(table: pa.Table) -> pa.Table:
         x = _Group(table, window)
         h, place = x.blocks()
@@ -103,91 +168,36 @@ def _index(window: int, partitions: int):
         lead[place] = ids
         many = np.zeros(len(h), bool)
         many[place[lead[place] != ids]] = True
-        g = table.column(G)[0].as_py()
-        s = Split(h, partitions)
-        return g_.asks([(p, g, len(at), g_.pack_sorted(s.rest[at]) + g_.pack_bits(aligned[at]) + g_.pack_bits(many[at])) for p, at in s.parts()])
+        return blocks.sent(h, [aligned, many], table.column(G)[0].as_py())
 
     return send
 
 
-def _probe(table: pa.Table) -> pa.Table:
-    """Which hashes are a reference block somewhere and are held by two documents."""
-    asked = [(r["__g"], r["__p"], r["__n"], r["__blob"]) for r in table.to_pylist()]
-    values, flags = [], []
-    for _, _, n, blob in asked:
-        v, used = g_.unpack_sorted(blob, n)
-        values.append(v)
-        size = (n + 7) // 8
-        flags.append(g_.unpack_bits(blob, n, used) + 2 * g_.unpack_bits(blob, n, used + size).astype(np.uint8))
-    h, place, times = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
-    state = np.concatenate(flags)
-    block, many = np.zeros(len(h), bool), times > 1
-    block[place[(state & 1) > 0]] = True
-    many[place[(state & 2) > 0]] = True
-    hit = (block & many)[place]
-    out, at = [], 0
-    for g, p, n, _ in asked:
-        out.append((g, p, 0, g_.pack_bits(hit[at : at + n])))
-        at += n
-    return g_.answers(out)
-
-
-def _extend(window: int, partitions: int):
+def _hits(x: _Group, reply: pa.Table, blocks: _Blocks) -> np.ndarray:
+    """Starts of the windows to which the group's hits may extend."""
+    h, place = x.blocks()
+    return x.candidates(Split(h, blocks.radix).marked(g_.answered(reply, blocks.number))[place])
+
+
+def _extend(window: int, blocks: _Blocks, windows: _Windows):
     def send(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
             return g_.asks([])
-        x = _Group(table, window)
-        h, place = x.blocks()
-        hit = Split(h, partitions).marked(g_.answered(reply, 0))[place]
-        a, b, ids, _ = x.longer(x.candidates(hit))
-        g, s, out = table.column(G)[0].as_py(), Split(a, partitions), []
-        for p, at in s.parts():
-            low = ids[at].min()
-            away = (ids[at] - low).astype("<u8")
-            width = max(1, (int(away.max()).bit_length() + 7) // 8)
-            out.append((p, g, len(at), g_.pack_sorted(s.rest[at]) + b[at].astype("<u4").tobytes() + int(low).to_bytes(8, "little", signed=True) + bytes([width]) + away.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()))
-        return g_.asks(out)
+        x = _Group(table, window, twice=True)
+        a, b, ids, _ = x.longer(_hits(x, reply, blocks))
+        return windows.sent(a, [b, ids], table.column(G)[0].as_py())
 
     return send
 
 
-def _smallest(table: pa.Table) -> pa.Table:
-    """Which windows a document of another group, with a smaller id, holds too."""
-    asked = [(r["__g"], r["__p"], r["__n"], r["__blob"]) for r in table.to_pylist()]
-    aa, bb, dd = [], [], []
-    for _, _, n, blob in asked:
-        a, used = g_.unpack_sorted(blob, n)
-        b = np.frombuffer(blob, "<u4", n, used)
-        used += 4 * n
-        low, width = int.from_bytes(blob[used : used + 8], "little", signed=True), blob[used + 8]
-        raw = np.zeros((n, 8), np.uint8)
-        raw[:, :width] = np.frombuffer(blob, np.uint8, n * width, used + 9).reshape(n, width)
-        aa.append(a)
-        bb.append(b)
-        dd.append(raw.reshape(-1).view("<u8").astype(np.int64) + low)
-    a, b, d = np.concatenate(aa), np.concatenate(bb), np.concatenate(dd)
-    order = np.lexsort((d, b, a))
-    new = np.ones(len(a), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    least = d[order][new][np.cumsum(new) - 1]
-    later = np.empty(len(a), bool)
-    later[order] = least < d[order]
-    out, at = [], 0
-    for g, p, n, _ in asked:
-        out.append((g, p, 1, g_.pack_bits(later[at : at + n])))
-        at += n
-    return g_.answers(out)
-
-
-def _remove(window: int, partitions: int, names: list[str]):
+def _remove(window: int, blocks: _Blocks, windows: _Windows, names: list[str]):
     def cut(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({n: [] for n in names})
-        x = _Group(table, window)
-        h, place = x.blocks()
-        at = x.candidates(Split(h, partitions).marked(g_.answered(reply, 0))[place])
+        x = _Group(table, window, twice=True)
+        at = _hits(x, reply, blocks)
         a, _, ids, place = x.longer(at)
-        later = Split(a, partitions).marked(g_.answered(reply, 1))[place]
+        later = Split(a, windows.radix).marked(g_.answered(reply, windows.number))[place]
         later |= x.texts.ids[x.doc[at]] > ids[place]
         gone = covered(len(x.words), at[later], window)
         n_words = np.diff(x.first)
@@ -220,13 +230,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keep = list(keep or [])
     total = g_.text_bytes(docs, text_col)
     n = g_.group_count(docs, total)
-    partitions = max(n, math.ceil(total / 6 / PARTITION_WORDS))
+    blocks, windows = _Blocks(g_.RADIX), _Windows(g_.RADIX)
+    digits = g_.levels(total, PARTITION_BYTES)
     by_group = g_.grouped(docs, id_col, text_col, n, keep)
-    hits = by_group.groupBy(G).applyInArrow(_index(window, partitions), ASK).groupBy("__p").applyInArrow(_probe, ANSWER)
-    wide = by_group.groupBy(G).cogroup(hits.groupBy(G)).applyInArrow(_extend(window, partitions), ASK)
-    replies = hits.unionByName(wide.groupBy("__p").applyInArrow(_smallest, ANSWER))
+    hits = g_.exchanged(by_group.groupBy(G).applyInArrow(_index(window, blocks), ASK), blocks, digits)
+    wide = by_group.groupBy(G).cogroup(hits.groupBy(G)).applyInArrow(_extend(window, blocks, windows), ASK)
+    replies = hits.unionByName(g_.exchanged(wide, windows, digits))
     fields = [T.StructField(ID, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType()), *g_.keep_fields(docs, keep)]
-    out = by_group.groupBy(G).cogroup(replies.groupBy(G)).applyInArrow(_remove(window, partitions, [f.name for f in fields]), T.StructType(fields))
+    out = by_group.groupBy(G).cogroup(replies.groupBy(G)).applyInArrow(_remove(window, blocks, windows, [f.name for f in fields]), T.StructType(fields))
     return out.select(g_.shown_id().alias(id_col), *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
 
 

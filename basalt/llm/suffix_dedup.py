@@ -17,9 +17,12 @@ A byte goes if a ``window``-byte string that covers it also starts earlier.
   a large part of all rows hold) is dealt anew by the hash of whole windows, so
   that it spreads over all partitions. The comparison stays the same.
 
-Defined cases: a null text is empty; texts shorter than a window are kept; a
-null id sorts first; rows that share an id are ordered by their text, so of
-repeated rows the first stays; texts are cut as bytes, at any byte.
+Defined cases: a null text is empty; texts shorter than a window are kept; an
+empty table gives no rows; a null id sorts first; rows that share an id are
+ordered by a hash of their text and spread over groups; of repeated rows the
+first stays; texts are cut as bytes, at any byte, and held whole in one task;
+other columns pass through if they are in ``keep``, under any name but those of
+the result, and clash with no internal one.
 """
 
 from __future__ import annotations
@@ -28,13 +31,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
 from . import groups as g_
-from .groups import ANSWER, ASK, G, ID, Split, Texts
+from .groups import ANSWER, ASK, G, HASH, ID, Sets, Split, Texts
 from .hashing import BYTE, counted, covered, mix
 from .hashing import WINDOW as ODD
 
@@ -45,8 +49,9 @@ SEED = 32
 STEP = 1 << 20
 INDEX_BITS = 52
 HOT_SEGMENTS = 20_000
-#: Bytes of text for each partition of the hash space.
-PARTITION_BYTES = 4 << 20
+#: Bytes of text for each part of the hash space, and for each task that compares segments.
+PARTITION_BYTES = 64 << 20
+COMPARE_BYTES = 4 << 20
 #: Bytes that are indexed together, buckets whole.
 INDEX_BYTES = 1 << 20
 
@@ -108,18 +113,18 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int, seed: int):
 
 
 class _Group:
-    def __init__(self, table: pa.Table, window: int, partitions: int):
+    def __init__(self, table: pa.Table, window: int):
         self.table = g_.ordered(table)
-        self.texts = Texts(self.table)
-        self.window, self.partitions = window, partitions
+        self.texts, self.hash = Texts(self.table), self.table.column(HASH).to_numpy()
+        self.window = window
         self.first, self.count, self.bucket, self.inner = segments(self.texts.data, self.texts.offsets, window, SEED)
         self.buckets, self.place = np.unique(self.bucket, return_inverse=True)
 
-    def sent(self, reply: pa.Table):
+    def sent(self, reply: pa.Table, kind: _Buckets):
         """Segments to compare, after the first answer: first window, windows,
         bucket, inner, and for each the index of the equal one before it or -1."""
-        split = Split(self.buckets, self.partitions)
-        again, hot = (split.marked(g_.answered(reply, k))[self.place] for k in (0, 2))
+        split, said = Split(self.buckets, kind.radix), g_.answered(reply, kind.number)
+        again, hot = (split.marked(said, plane)[self.place] for plane in (0, 1))
         cold = again & ~hot
         first, count, bucket, inner = (x[cold] for x in (self.first, self.count, self.bucket, self.inner))
         if hot.any():
@@ -140,84 +145,74 @@ class _Group:
                 same[i] = j
         return first, count, bucket, inner, same
 
-    def dealt(self, bucket: np.ndarray, same: np.ndarray):
-        """(partition, indices of the first segments of each content)."""
-        lead = np.flatnonzero(same < 0)
-        part = (bucket[lead] % np.uint64(self.partitions)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(self.partitions + 1))
-        for p in range(self.partitions):
-            if bounds[p] < bounds[p + 1]:
-                yield p, lead[order[bounds[p] : bounds[p + 1]]]
 
+class _Buckets(Sets):
+    """Buckets: if one occurs again, and how many distinct segments groups have in it."""
 
-def _index(window: int, partitions: int):
+    def __init__(self, radix: int, hot: int):
+        super().__init__(radix)
+        self.hot = hot
+
+    def write(self, values, columns):
+        return g_.pack_sorted(values) + g_.pack_bits(columns[0]) + columns[1].astype("<u4").tobytes()
+
+    def read(self, blob, n):
+        values, used = g_.unpack_sorted(blob, n)
+        return values, [g_.unpack_bits(blob, n, used), np.frombuffer(blob, "<u4", n, used + (n + 7) // 8)]
+
+    def merge(self, values, columns):
+        h, place, times = np.unique(values, return_inverse=True, return_counts=True)
+        again = times > 1
+        again[place[columns[0]]] = True
+        return h, [again, np.minimum(np.bincount(place, columns[1], len(h)), 2**31).astype(np.uint32)], place
+
+    def decide(self, columns):
+        return [columns[0], columns[1] > self.hot]
+
+
+def _index(window: int, kind: _Buckets):
     def send(table: pa.Table) -> pa.Table:
-        x = _Group(table, window, partitions)
+        x = _Group(table, window)
         times = np.bincount(x.place, minlength=len(x.buckets))
         data, w = x.texts.data.tobytes(), window - 1
         distinct = np.minimum(times, 255)
         for b in np.flatnonzero(times >= 255):  # few: count their contents
             at = np.flatnonzero(x.place == b)
-            distinct[b] = min(2**31, len({data[x.first[i] : x.first[i] + x.count[i] + w] for i in at}))
+            distinct[b] = len({data[x.first[i] : x.first[i] + x.count[i] + w] for i in at})
         many = times > 1
         # a repeat inside one run needs no other run
         many[x.place[x.inner]] = True
-        g, s = table.column(G)[0].as_py(), Split(x.buckets, partitions)
-        return g_.asks([(p, g, len(at), g_.pack_sorted(s.rest[at]) + g_.pack_bits(many[at]) + distinct[at].astype("<u4").tobytes()) for p, at in s.parts()])
+        return kind.sent(x.buckets, [many, distinct], table.column(G)[0].as_py())
 
     return send
 
 
-def _occurs_again(table: pa.Table) -> pa.Table:
-    asked = [(r["__g"], r["__p"], r["__n"], r["__blob"]) for r in table.to_pylist()]
-    values, many, sizes = [], [], []
-    for _, _, n, blob in asked:
-        v, used = g_.unpack_sorted(blob, n)
-        values.append(v)
-        many.append(g_.unpack_bits(blob, n, used))
-        sizes.append(np.frombuffer(blob, "<u4", n, used + (n + 7) // 8))
-    h, place, times = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
-    again = times > 1
-    again[place[np.concatenate(many)]] = True
-    hot = np.bincount(place, np.concatenate(sizes), len(h)) > HOT_SEGMENTS
-    out, at = [], 0
-    for g, p, n, _ in asked:
-        here = place[at : at + n]
-        out.append((g, p, 0, g_.pack_bits(again[here])))
-        if hot[here].any():
-            out.append((g, p, 2, g_.pack_bits(hot[here])))
-        at += n
-    return g_.answers(out)
-
-
-def _segments_of(window: int, partitions: int):
+#: A segment: where it is compared, where it is from, its order, and its bytes.
+SEGMENT = "__p long, __g int, __i long, bucket long, id long, hash long, row long, start long, n long, inner boolean, bytes binary"
+_SEGMENT = pa.schema([("__p", pa.int64()), ("__g", pa.int32()), *[(c, pa.int64()) for c in ("__i", "bucket", "id", "hash", "row", "start", "n")], ("inner", pa.bool_()), ("bytes", pa.binary())])
+
+
+def _segments_of(window: int, partitions: int, kind: _Buckets):
     def send(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return g_.asks([])
-        x = _Group(table, window, partitions)
-        first, count, bucket, inner, same = x.sent(_spread(reply, x, partitions))
+            return _SEGMENT.empty_table()
+        x = _Group(table, window)
+        first, count, bucket, inner, same = x.sent(reply, kind)
+        at = np.flatnonzero(same < 0)
+        first, count, bucket, inner = first[at], count[at], bucket[at].astype(np.int64), inner[at]
         doc = np.searchsorted(x.texts.offsets, first, "right") - 1
-        g, data, w, out = table.column(G)[0].as_py(), x.texts.data.tobytes(), window - 1, []
-        for p, at in x.dealt(bucket, same):
-            a, n = first[at], count[at]
-            head = [bucket[at].astype("<u8"), x.texts.ids[doc[at]].astype("<i8"), doc[at].astype("<i8"), (a - x.texts.offsets[doc[at]]).astype("<i8"), n.astype("<i8"), inner[at].astype("<i8")]
-            body = b"".join(data[i : i + k + w] for i, k in zip(a.tolist(), n.tolist(), strict=True))
-            out.append((p, g, len(at), b"".join(c.tobytes() for c in head) + body))
-        return g_.asks(out)
+        size, data = count + (window - 1), x.texts.data.tobytes()
+        body = b"".join([data[a : a + k] for a, k in zip(first.tolist(), size.tolist(), strict=True)])
+        ends = np.zeros(len(at) + 1, np.int32)
+        np.cumsum(size, out=ends[1:])
+        segs = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(body)])
+        longs = (at, bucket, x.texts.ids[doc], x.hash[doc], doc, first - x.texts.offsets[doc], count)
+        g = np.full(len(at), table.column(G)[0].as_py(), np.int32)
+        return pa.Table.from_arrays([pa.array(bucket % partitions), pa.array(g), *[pa.array(c.astype(np.int64)) for c in longs], pa.array(inner), segs], schema=_SEGMENT)
 
     return send
 
 
-def _spread(reply: pa.Table, x: _Group, partitions: int) -> pa.Table:
-    """The first answer, with no-hot answers filled in for all partitions."""
-    have = {p for p, _ in g_.answered(reply, 2)}
-    s = Split(x.buckets, partitions)
-    g = x.table.column(G)[0].as_py()
-    fill = g_.answers([(g, p, 2, g_.pack_bits(np.zeros(len(at), bool))) for p, at in s.parts() if p not in have])
-    return pa.concat_tables([reply.select(fill.schema.names).cast(fill.schema), fill])
-
-
 def bounded_suffix_order(text: np.ndarray, bound: int) -> np.ndarray:
     """Positions of ``text`` sorted by at least ``bound`` symbols (prefix doubling)."""
     n = len(text)
@@ -280,7 +275,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, bound: int) -> np.ndarr
     return lcp[:n]
 
 
-def repeated_windows(segs: list[bytes], ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, window: int) -> list[np.ndarray]:
+def repeated_windows(segs: list[bytes], ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, window: int, hashes: np.ndarray | None = None) -> list[np.ndarray]:
     """For each segment, which of its windows start earlier in another place."""
     sizes = np.array([len(s) for s in segs])
     at = np.cumsum(sizes + 1) - sizes - 1
@@ -295,7 +290,8 @@ def repeated_windows(segs: list[bytes], ids: np.ndarray, rows: np.ndarray, start
     whole = (np.arange(len(text)) - at[seg]) <= (sizes - window)[seg]
     pos, group = order[whole[order]], group[whole[order]]
     s = seg[pos]
-    by = np.lexsort((starts[s] + pos - at[s], rows[s], ids[s], group))
+    hashes = np.zeros(len(segs), np.int64) if hashes is None else hashes
+    by = np.lexsort((starts[s] + pos - at[s], rows[s], hashes[s], ids[s], group))
     later = np.zeros(len(pos), bool)
     later[by[1:]] = group[by][1:] == group[by][:-1]
     flags = np.zeros(len(text), bool)
@@ -305,20 +301,12 @@ def repeated_windows(segs: list[bytes], ids: np.ndarray, rows: np.ndarray, start
 
 def _compare(window: int):
     def answer(table: pa.Table) -> pa.Table:
-        asked, segs, cols = [], [], [[] for _ in range(6)]
-        for r in table.to_pylist():
-            n, blob = r["__n"], r["__blob"]
-            for c, k in zip(cols, range(6), strict=True):
-                c.append(np.frombuffer(blob, "<u8" if k == 0 else "<i8", n, 8 * n * k))
-            at, size = 48 * n, cols[4][-1] + (window - 1)
-            for k in size.tolist():
-                segs.append(blob[at : at + k])
-                at += k
-            asked.append((r["__g"], r["__p"], n))
-        bucket, ids, rows, starts, count, inner = (np.concatenate(c) for c in cols)
+        segs = table.column("bytes").to_pylist()
+        bucket, ids, hashes, rows, starts, count = (table.column(c).to_numpy() for c in ("bucket", "id", "hash", "row", "start", "n"))
+        inner = table.column("inner").to_numpy()
         # the earliest of each content stays; the rest is repeated as a whole
         seen: dict[tuple, int] = {}
-        for i in np.lexsort((starts, rows, ids)).tolist():
+        for i in np.lexsort((starts, rows, hashes, ids)).tolist():
             seen.setdefault((bucket[i], segs[i]), i)
         lead = np.array(sorted(seen.values()))
         flags: list[np.ndarray | None] = [None] * len(segs)
@@ -326,6 +314,12 @@ def _compare(window: int):
         edge = np.flatnonzero(np.concatenate([[True], bucket[lead][1:] != bucket[lead][:-1]]))
         batch: list[int] = []
         size = 0
+
+        def flag(batch: list[int]) -> None:
+            i = np.array(batch)
+            for k, f in zip(batch, repeated_windows([segs[k] for k in batch], ids[i], rows[i], starts[i], window, hashes[i]) if batch else (), strict=True):
+                flags[k] = f
+
         for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(lead)], strict=True):
             of_bucket = lead[a:b].tolist()
             if len(of_bucket) == 1 and not inner[of_bucket[0]]:
@@ -334,39 +328,30 @@ def _compare(window: int):
             batch += of_bucket
             size += sum(len(segs[i]) for i in of_bucket)
             if size >= INDEX_BYTES:
-                _flag(batch, segs, ids, rows, starts, window, flags)
+                flag(batch)
                 batch, size = [], 0
-        _flag(batch, segs, ids, rows, starts, window, flags)
-        out, at = [], 0
-        for g, p, n in asked:
-            bits = [np.ones(count[i], bool) if flags[i] is None else flags[i] for i in range(at, at + n)]
-            out.append((g, p, 1, g_.pack_bits(np.concatenate(bits))))
-            at += n
-        return g_.answers(out)
+        flag(batch)
+        blobs = [g_.pack_bits(np.ones(n, bool) if f is None else f) for n, f in zip(count.tolist(), flags, strict=True)]
+        return pa.table({"__g": table.column("__g"), "__p": table.column("__i"), "__kind": pa.array(np.ones(len(blobs), np.int32)), "__blob": pa.array(blobs, pa.binary())})
 
     return answer
 
 
-def _flag(batch, segs, ids, rows, starts, window, flags) -> None:
-    if batch:
-        i = np.array(batch)
-        for k, f in zip(batch, repeated_windows([segs[k] for k in batch], ids[i], rows[i], starts[i], window), strict=True):
-            flags[k] = f
-
-
-def _cut(window: int, partitions: int, names: list[str]):
+def _cut(window: int, kind: _Buckets, names: list[str]):
     def cut(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({n: [] for n in names})
-        x = _Group(table, window, partitions)
-        first, count, bucket, inner, same = x.sent(_spread(reply, x, partitions))
+        x = _Group(table, window)
+        first, count, _, _, same = x.sent(reply, kind)
         begin = np.cumsum(count) - count
         later = np.ones(int(count.sum()), bool)  # of equal segments all but the first go
-        said = dict(g_.answered(reply, 1))
-        for p, at in x.dealt(bucket, same):
-            n = count[at]
-            to = np.arange(int(n.sum())) + np.repeat(begin[at] - (np.cumsum(n) - n), n)
-            later[to] = g_.unpack_bits(said[p], len(to))
+        said = reply.filter(pc.equal(reply.column("__kind"), 1)).combine_chunks()
+        if said.num_rows:
+            at = said.column("__p").to_numpy()
+            bits = np.unpackbits(np.frombuffer(b"".join(said.column("__blob").to_pylist()), np.uint8)).astype(bool)
+            n, bytes_ = count[at], (count[at] + 7) // 8
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            later[inside + np.repeat(begin[at], n)] = bits[inside + np.repeat(8 * (np.cumsum(bytes_) - bytes_), n)]
         windows = np.arange(len(later)) + np.repeat(first - begin, count)
         t = x.texts
         gone = covered(len(t.data), windows[later], window)
@@ -394,13 +379,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep = list(keep or [])
     total = g_.text_bytes(docs, text_col)
     n = g_.group_count(docs, total)
-    partitions = max(n, math.ceil(total / PARTITION_BYTES))
+    partitions = max(n, math.ceil(total / COMPARE_BYTES))
     by_group = g_.grouped(docs, id_col, text_col, n, keep)
-    again = by_group.groupBy(G).applyInArrow(_index(window, partitions), ASK).groupBy("__p").applyInArrow(_occurs_again, ANSWER)
-    segs = by_group.groupBy(G).cogroup(again.groupBy(G)).applyInArrow(_segments_of(window, partitions), ASK)
+    kind = _Buckets(g_.RADIX, HOT_SEGMENTS)
+    again = g_.exchanged(by_group.groupBy(G).applyInArrow(_index(window, kind), ASK), kind, g_.levels(total, PARTITION_BYTES))
+    segs = by_group.groupBy(G).cogroup(again.groupBy(G)).applyInArrow(_segments_of(window, partitions, kind), SEGMENT)
     replies = again.unionByName(segs.groupBy("__p").applyInArrow(_compare(window), ANSWER))
     fields = [T.StructField(ID, T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.BinaryType()), *g_.keep_fields(docs, keep)]
-    out = by_group.groupBy(G).cogroup(replies.groupBy(G)).applyInArrow(_cut(window, partitions, [f.name for f in fields]), T.StructType(fields))
+    out = by_group.groupBy(G).cogroup(replies.groupBy(G)).applyInArrow(_cut(window, kind, [f.name for f in fields]), T.StructType(fields))
     return out.select(g_.shown_id().alias(id_col), *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "n_removed", "n_spans", "kept")
 
 

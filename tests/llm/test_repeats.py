@@ -7,7 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
+from basalt.llm import groups
 from basalt.llm import substring_dedup as words
 from basalt.llm import suffix_dedup as suffix
 
@@ -15,8 +17,9 @@ NULL = -(2**63)
 
 
 def keyed(rows):
-    """(id, text bytes) in the documented order."""
-    return sorted((NULL if r[0] is None else r[0], (r[1] or "").encode()) for r in rows)
+    """(id, text bytes) in the documented order: by id, then by Spark's hash of the text."""
+    order = lambda x: (x[0], (xxhash.xxh64_intdigest(x[1], 42) + 2**63) % 2**64)
+    return sorted(((NULL if r[0] is None else r[0], (r[1] or "").encode()) for r in rows), key=order)
 
 
 def brute_bytes(rows, window):
@@ -50,18 +53,22 @@ def brute_words(rows, window):
     return Counter(out)
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_bytes(docs, rows, small_groups, monkeypatch, hot):
+@pytest.mark.parametrize("hot, radix", [(20_000, 64), (2, 64), (20_000, 3)])
+def test_bytes(docs, rows, small_groups, monkeypatch, hot, radix):
     monkeypatch.setattr(suffix, "HOT_SEGMENTS", hot)  # 2: most buckets are dealt by whole windows
+    monkeypatch.setattr(suffix, "COMPARE_BYTES", 20_000)
     monkeypatch.setattr(suffix, "PARTITION_BYTES", 20_000)
+    monkeypatch.setattr(groups, "RADIX", radix)
     monkeypatch.setattr(suffix, "INDEX_BYTES", 3_000)
     monkeypatch.setattr(suffix, "STEP", 5_000)
     got = suffix.suffix_dedup(docs, keep=["lang", "kept"]).toDF("doc_id", "lang", "extra", "n", "gone", "spans", "kept").collect()
     assert Counter((r.doc_id, r.n, r.gone, r.spans, bytes(r.kept)) for r in got) == brute_bytes(rows, 100)
 
 
-def test_words(docs, rows, small_groups, monkeypatch):
-    monkeypatch.setattr(words, "PARTITION_WORDS", 3_000)
+@pytest.mark.parametrize("radix", [64, 3])
+def test_words(docs, rows, small_groups, monkeypatch, radix):
+    monkeypatch.setattr(words, "PARTITION_BYTES", 9_000)
+    monkeypatch.setattr(groups, "RADIX", radix)
     monkeypatch.setattr(words, "STEP", 5_000)
     got = words.substring_dedup(docs, keep=["lang", "__g"]).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, b" ".join(r.kept.encode().split())) for r in got) == brute_words(rows, 13)
@@ -69,6 +76,18 @@ def test_words(docs, rows, small_groups, monkeypatch):
     assert all((r.doc_id, r.kept) in whole for r in got if not r.n_removed)
 
 
+def test_places_of_long_words(spark):
+    long = "x" * 65_535
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"a {long} b {rest}"), (2, f"b {long} a {rest}"), (3, f"a{long}b {rest}"), (4, f"b{long}a {rest}"), (5, f"b{long}a {rest}")]
+    got = {r.doc_id: r.n_removed for r in words.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 13}
+
+
+def test_packages_grow_with_the_text(docs):
+    assert groups.levels(64 << 20, 1 << 20) == 1 and groups.levels(65 << 20, 1 << 20) == 2 and groups.levels(2**40, 16 << 20) == 3
+
+
 def test_empty_tables(empty):
     assert suffix.suffix_dedup(empty).count() == 0
     assert words.substring_dedup(empty, keep=["lang"]).count() == 0
