@@ -14,16 +14,17 @@ from .types import SqlType
 class Table:
     """A stored DataFrame plus the declared types of its columns.
 
-    ``rows`` bounds the row count (used only to choose the width of sums); it
-    is read from the store on first use, which for Parquet touches footers only.
+    ``unique`` lists column sets that no two rows share, as the schema says; no
+    plan checks it. ``rows`` is counted on first use, and only if asked for.
     """
 
-    def __init__(self, name: str, df: DataFrame, declared: Mapping[str, str], rows: int | None = None):
+    def __init__(self, name: str, df: DataFrame, declared: Mapping[str, str], rows: int | None = None, unique: Iterable[Iterable[str]] = ()):
         self.name, self.df = name.lower(), df
+        self.unique = tuple(frozenset(u) for u in unique)
         self.columns = {c: SqlType.parse(t) for c, t in declared.items()}
         if missing := set(self.columns) - set(df.columns):
             raise ValueError(f"{name}: no stored column {sorted(missing)}")
-        self._rows = rows
+        self._rows, self._stored, self._added = rows, df, []
 
     @property
     def rows(self) -> int:
@@ -40,9 +41,11 @@ class Table:
         return df.select(*[self.columns[c].adapt(F.col(c), stored[c]).alias(c) for c in dict.fromkeys(columns)])
 
     def append(self, rows: Iterable[tuple]) -> "Table":
-        """Adds in-memory rows given in the stored column order."""
-        extra = self.df.sparkSession.createDataFrame(list(rows), self.df.schema)
-        self.df, self._rows = self.df.unionByName(extra), None
+        """Adds in-memory rows given in the stored column order; however many
+        appends there were, the plan has one union."""
+        self._added.extend(rows)
+        extra = self.df.sparkSession.createDataFrame(self._added, self._stored.schema)
+        self.df, self._rows = self._stored.unionByName(extra), None
         return self
 
 
@@ -51,10 +54,10 @@ class Catalog:
         self.spark = spark
         self._tables: dict[str, Table] = {}
 
-    def add(self, name: str, df: DataFrame, declared: Mapping[str, str], rows: int | None = None) -> Table:
+    def add(self, name: str, df: DataFrame, declared: Mapping[str, str], rows: int | None = None, unique: Iterable[Iterable[str]] = ()) -> Table:
         if name.lower() in self._tables:
             raise ValueError(f"table {name!r} exists")
-        return self._tables.setdefault(name.lower(), Table(name, df, declared, rows))
+        return self._tables.setdefault(name.lower(), Table(name, df, declared, rows, unique))
 
     def add_rows(self, name: str, rows: Iterable[tuple], declared: Mapping[str, str]) -> Table:
         """Registers an in-memory table; values are given unscaled."""

@@ -84,19 +84,40 @@ register_scalar("*", 2, ARITHMETIC["*"], _corners(lambda x, y: x * y))
 
 @dataclass(frozen=True)
 class Aggregate:
+    """``build`` takes the column, its range, the result's range and the row bound."""
+
     name: str
-    build: Callable[[Column, Domain], Column]
+    build: Callable[[Column, Domain, Domain, int], Column]
     domain: Callable[[Domain, int], Domain]
 
 
-def _sum(c: Column, out: Domain) -> Column:
-    to = _exact(out)
-    return F.sum(c.cast(to)).cast(to)
+def _sum(c: Column, arg: Domain, out: Domain, rows: int) -> Column:
+    """An exact sum. One that may leave 64 bits is added up in digits that
+    cannot, so that no row makes a decimal object."""
+    if _exact(out) == T.LongType():
+        return F.sum(c.cast("long")).cast("long")
+    wide = T.DecimalType(38, 0)
+    if _exact(arg) != T.LongType():
+        return F.sum(c.cast(wide)).cast(wide)
+    bits = 62 - rows.bit_length()
+    if bits < 8:
+        return F.sum(c.cast(wide)).cast(wide)
+    x, largest = c.cast("long"), max(abs(arg[0]), abs(arg[1]))
+    total, low = None, 0
+    while low == 0 or largest >> low:
+        last = not largest >> (low + bits)
+        # floor division by a power of two: the last digit has the sign
+        digit = F.shiftright(x, low) if low else x
+        digit = digit if last else digit.bitwiseAND(F.lit((1 << bits) - 1))
+        part = F.sum(digit).cast(wide) * F.lit(str(1 << low)).cast(wide) if low else F.sum(digit).cast(wide)
+        total = part if total is None else (total + part).cast(wide)
+        low += bits
+    return total.cast(wide)
 
 
 AGGREGATES: dict[str, Aggregate] = {
     "sum": Aggregate("sum", _sum, lambda d, n: None if d is None else (min(0, d[0]) * n, max(0, d[1]) * n)),
-    "count": Aggregate("count", lambda c, d: F.count(F.lit(1)), lambda d, n: (0, n)),
-    "min": Aggregate("min", lambda c, d: F.min(c), lambda d, n: d),
-    "max": Aggregate("max", lambda c, d: F.max(c), lambda d, n: d),
+    "count": Aggregate("count", lambda c, *_: F.count(F.lit(1)), lambda d, n: (0, n)),
+    "min": Aggregate("min", lambda c, *_: F.min(c), lambda d, n: d),
+    "max": Aggregate("max", lambda c, *_: F.max(c), lambda d, n: d),
 }

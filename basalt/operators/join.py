@@ -35,8 +35,8 @@ def at_most_one(probe: DataFrame, build: DataFrame, keys: Sequence[tuple[str, st
 
     Without payloads this is a left semi join, and the build keys are copies of
     the probe keys. With payloads, the build side is first reduced to the
-    smallest payload tuple of each key; where the key is unique already this
-    changes nothing but keeps the result deterministic otherwise.
+    smallest payload tuple of each key, so that the result is deterministic. A
+    build side whose key is known to be unique needs :func:`inner` only.
     """
     names = list(dict.fromkeys(b for b, _ in keys))
     carried = [c for c in dict.fromkeys(payloads) if c not in names]
@@ -44,5 +44,7 @@ def at_most_one(probe: DataFrame, build: DataFrame, keys: Sequence[tuple[str, st
         out = probe.alias("p").join(build.select(*names).alias("b"), _condition(probe, build, keys), "left_semi")
         copies = {b: p for b, p in reversed(keys)}
         return out.select(*[F.col(f"`{c}`") for c in probe.columns], *[F.col(f"`{copies[b]}`").alias(b) for b in names])
+    if len(carried) == 1:  # a single number stays in a hash aggregate
+        return inner(probe, build.groupBy(*names).agg(F.min(carried[0]).alias(carried[0])), keys, carried)
     one = build.groupBy(*names).agg(F.min(F.struct(*carried)).alias("__v")).select(*names, *[F.col(f"__v.`{c}`").alias(c) for c in carried])
     return inner(probe, one, keys, carried)

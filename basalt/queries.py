@@ -31,6 +31,11 @@ def big(x: str) -> str:
     return f"CAST({x} AS BIGINT)"
 
 
+def exact(x: str) -> str:
+    """Of a sum that may leave 64 bits within the row bound."""
+    return f"CAST({x} AS DECIMAL(38,0))"
+
+
 def query(name: str, sql: str):
     def keep(plan: Callable[[], RelOp]):
         PLANS[name] = (plan, sql)
@@ -243,7 +248,7 @@ def _():
     return B.hash_join(B.hash_group_by(pairs, ["pk", "sk"]), ["pk", "sk"], [], lineitem("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_partkey", "l_suppkey"])
 
 
-@query("join_then_sum", f"SELECT {big('SUM(' + cents('o_totalprice') + ')')} AS total, COUNT(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey HAVING COUNT(*) > 0")
+@query("join_then_sum", f"SELECT {exact('SUM(' + cents('o_totalprice') + ')')} AS total, COUNT(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey HAVING COUNT(*) > 0")
 def _():
     j = B.hash_join(B.scan("orders", ["o_orderkey", "o_totalprice"]), ["o_orderkey"], ["o_totalprice"], lineitem("l_orderkey"), ["l_orderkey"], fk1=True)
     narrow = B.project(j, [assign("price", column("o_totalprice"))])
@@ -261,8 +266,8 @@ def _():
 
 @query(
     "tpch_q1",
-    f"""SELECT l_returnflag, l_linestatus, {big(f"SUM({cents('l_quantity')})")} AS sum_qty, {big(f"SUM({cents('l_extendedprice')})")} AS sum_base_price,
-    {big(f"SUM({SQL_REVENUE})")} AS sum_disc_price, {big(f"SUM({SQL_REVENUE} * (100 + {cents('l_tax')}))")} AS sum_charge,
+    f"""SELECT l_returnflag, l_linestatus, {big(f"SUM({cents('l_quantity')})")} AS sum_qty, {exact(f"SUM({cents('l_extendedprice')})")} AS sum_base_price,
+    {exact(f"SUM({SQL_REVENUE})")} AS sum_disc_price, {exact(f"SUM({SQL_REVENUE} * (100 + {cents('l_tax')}))")} AS sum_charge,
     {big(f"SUM({cents('l_discount')})")} AS sum_disc, COUNT(*) AS count_order FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY 1, 2""",
 )
 def tpch_q1():
@@ -273,7 +278,7 @@ def tpch_q1():
 
 @query(
     "tpch_q3",
-    f"""SELECT l_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, {big(f"SUM({SQL_REVENUE})")} AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+    f"""SELECT l_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, {exact(f"SUM({SQL_REVENUE})")} AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
     WHERE c_mktsegment = 'BUILDING' AND o_orderdate < DATE '1998-03-15' AND l_shipdate > DATE '1998-03-15' GROUP BY 1, 2""",
 )
 def _():
@@ -298,7 +303,7 @@ def _():
     return B.hash_group_by(x, ["o_orderpriority"], [], [_count("order_count", "o_orderpriority")])
 
 
-_SQL_Q6 = f"""SELECT {big(f"SUM({cents('l_extendedprice')} * {cents('l_discount')})")} AS revenue FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01'
+_SQL_Q6 = f"""SELECT {exact(f"SUM({cents('l_extendedprice')} * {cents('l_discount')})")} AS revenue FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01'
     AND {cents('l_discount')} BETWEEN 5 AND 7 AND l_quantity < 24 HAVING COUNT(*) > 0"""
 _Q6_DATE = F("between<", "l_shipdate", D("1996-01-01"), D("1997-01-01"))
 _Q6_DISC = F("between", "l_discount", K(5), K(7))
@@ -320,7 +325,7 @@ for _i in range(5):
 
 @query(
     "tpch_q9",
-    f"""SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS o_year, {big(f"SUM({SQL_REVENUE} - {cents('p_retailprice')} * {cents('l_quantity')})")} AS sum_profit
+    f"""SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS o_year, {exact(f"SUM({SQL_REVENUE} - {cents('p_retailprice')} * {cents('l_quantity')})")} AS sum_profit
     FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN orders ON o_orderkey = l_orderkey
     WHERE contains(p_name, 'blue') GROUP BY 1, 2""",
 )
@@ -337,7 +342,7 @@ def _():
 
 @query(
     "tpch_q10",
-    f"""SELECT c_custkey, c_name, {cents('c_acctbal')} AS c_acctbal, n_name, {big(f"SUM({SQL_REVENUE})")} AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey
+    f"""SELECT c_custkey, c_name, {cents('c_acctbal')} AS c_acctbal, n_name, {exact(f"SUM({SQL_REVENUE})")} AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey
     WHERE o_orderdate >= DATE '1996-10-01' AND o_orderdate < DATE '1997-01-01' AND l_returnflag = 'R' GROUP BY 1, 2, 3, 4""",
 )
 def _():
@@ -381,12 +386,12 @@ def _():
 # building blocks ---------------------------------------------------------------
 
 
-@query("q1_sums", f"SELECT {big('SUM(' + cents('l_extendedprice') + ')')} AS price, {big('SUM(' + cents('l_discount') + ')')} AS discount FROM lineitem HAVING COUNT(*) > 0")
+@query("q1_sums", f"SELECT {exact('SUM(' + cents('l_extendedprice') + ')')} AS price, {big('SUM(' + cents('l_discount') + ')')} AS discount FROM lineitem HAVING COUNT(*) > 0")
 def _():
     return B.hash_group_by(lineitem("l_extendedprice", "l_discount"), [], [], [_sum("price", "l_extendedprice"), _sum("discount", "l_discount")])
 
 
-@query("q3_revenue", f"SELECT {big(f'SUM({SQL_REVENUE})')} AS revenue, COUNT(*) AS n FROM lineitem WHERE l_shipdate > DATE '1998-03-15' HAVING COUNT(*) > 0")
+@query("q3_revenue", f"SELECT {exact(f'SUM({SQL_REVENUE})')} AS revenue, COUNT(*) AS n FROM lineitem WHERE l_shipdate > DATE '1998-03-15' HAVING COUNT(*) > 0")
 def _():
     x = B.select(lineitem("l_extendedprice", "l_discount", "l_shipdate"), F(">", "l_shipdate", D("1998-03-15")))
     return B.hash_group_by(B.project(x, [revenue("v")]), [], [], [_sum("revenue", "v"), _count("n", "v")])
@@ -405,7 +410,7 @@ for _name, _preds, _where in (
     ("q6_date_discount", (_Q6_DATE, _Q6_DISC), f"l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' AND {cents('l_discount')} BETWEEN 5 AND 7"),
 ):
 
-    @query(_name, f"SELECT {big('SUM(' + cents('l_extendedprice') + ' * ' + cents('l_discount') + ')')} AS revenue FROM lineitem WHERE {_where} HAVING COUNT(*) > 0")
+    @query(_name, f"SELECT {exact('SUM(' + cents('l_extendedprice') + ' * ' + cents('l_discount') + ')')} AS revenue FROM lineitem WHERE {_where} HAVING COUNT(*) > 0")
     def _(preds=_preds):
         x = lineitem("l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
         for p in preds:
@@ -425,7 +430,7 @@ def _():
     return B.hash_group_by(x, [], [], [_sum("s", "p_partkey"), _count("n", "p_partkey")])
 
 
-@query("q10_prerevenue", f"SELECT {big(f'SUM({SQL_REVENUE})')} AS revenue, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate >= DATE '1996-10-01' AND o_orderdate < DATE '1997-01-01' AND l_returnflag = 'R' HAVING COUNT(*) > 0")
+@query("q10_prerevenue", f"SELECT {exact(f'SUM({SQL_REVENUE})')} AS revenue, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate >= DATE '1996-10-01' AND o_orderdate < DATE '1997-01-01' AND l_returnflag = 'R' HAVING COUNT(*) > 0")
 def _():
     o = B.select(B.scan("orders", ["o_orderkey", "o_orderdate"]), F("between<", "o_orderdate", D("1996-10-01"), D("1997-01-01")))
     x = B.select(lineitem("l_orderkey", "l_extendedprice", "l_discount", "l_returnflag"), F("=", "l_returnflag", K("R")))

@@ -8,9 +8,7 @@ from pyspark.sql import SparkSession
 
 from ..catalog import Catalog
 
-#: Declared types. Money is held in cents; the widths are those
-#: of the compact schema, so 64-bit sums are exact up to some 10^6 times the
-#: largest local table and become decimal(38,0) beyond.
+#: Declared types. Money is held in cents.
 STAR_SCHEMA: dict[str, dict[str, str]] = {
     "region": {"r_regionkey": "integer", "r_name": "char(25)"},
     "nation": {"n_nationkey": "integer", "n_name": "char(25)", "n_regionkey": "integer"},
@@ -25,10 +23,13 @@ STAR_SCHEMA: dict[str, dict[str, str]] = {
     },
 }
 
+#: The column that no two rows of a table share.
+UNIQUE = {"region": "r_regionkey", "nation": "n_nationkey", "supplier": "s_suppkey", "customer": "c_custkey", "part": "p_partkey", "orders": "o_orderkey"}
+
 
 def load_star_schema(spark: SparkSession, sf_dir: str, tables: Iterable[str] = STAR_SCHEMA) -> Catalog:
     """A catalog of these tables; only they are opened."""
     catalog = Catalog(spark)
     for name in tables:
-        catalog.add(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), STAR_SCHEMA[name])
+        catalog.add(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), STAR_SCHEMA[name], unique=[[UNIQUE[name]]] if name in UNIQUE else ())
     return catalog
