@@ -7,14 +7,21 @@ Money is in cents in both forms, so no sum depends on the order of addition.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .catalog import Catalog
+from .config import with_config
 from .operators.sort import sort
 from .plans import Builder, assign, column, constant, function, lower
 from .plans.nodes import RelOp, scanned_tables
-from .sources import load_star_schema
+from .result import rendered
+from .result import run as run_query
+from .sources import append_rows, load_delimited, load_star_schema, write_delimited
+from .sources.folders import new_folder
+from .types import SqlType
 
 B = Builder()
 F = function
@@ -461,15 +468,94 @@ def sorted_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sort(lower(plan, load_star_schema(spark, sf_dir, ["customer"])).df, [("c_acctbal", False), ("c_custkey", True)])
 
 
+def _orders_file(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, str]]:
+    """Orders as delimited files in the shared folder, and their declared types."""
+    kinds = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "char(1)", "o_totalprice": "decimal(10,2)", "o_orderdate": "date"}
+    stored = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    path = new_folder(spark, "orders")
+    write_delimited(stored.select("o_orderkey", "o_custkey", "o_orderstatus", stored.o_totalprice.cast("decimal(10,2)"), stored.o_orderdate.cast("date")), path)
+    return path, kinds
+
+
+_FILE_PLAN = B.hash_group_by(B.scan("o", ["o_custkey", "o_totalprice", "o_orderdate"]), ["o_custkey"], [], [_sum("total", "o_totalprice"), assign("last", F("max", "o_orderdate")), _count("n", "o_custkey")])
+_FILE_SQL = f"SELECT o_custkey, {exact('SUM(' + cents('o_totalprice') + ')')} AS total, CAST(MAX(o_orderdate) AS DATE) AS last, COUNT(*) AS n FROM orders GROUP BY 1"
+
+
+def file_scan(spark: SparkSession, sf_dir: str, cached: bool = False) -> DataFrame:
+    """A plan over delimited files, or over their columnar copy."""
+    path, kinds = _orders_file(spark, sf_dir)
+    catalog = Catalog(spark)
+    load_delimited(catalog, "o", path, kinds, cache=f"{path}-copy" if cached else None)
+    return lower(_FILE_PLAN, catalog).df
+
+
+def file_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows a row-limited load has."""
+    path, kinds = _orders_file(spark, sf_dir)
+    catalog = Catalog(spark)
+    load_delimited(catalog, "o", path, kinds, num_lines=100)
+    return lower(B.hash_group_by(B.scan("o", ["o_orderkey"]), [], [], [_count("n", "o_orderkey")]), catalog).df
+
+
+def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table with rows appended one by one, as lines and as values."""
+    catalog = load_star_schema(spark, sf_dir, ["region"])
+    width = len(catalog.table("region").df.columns)
+    catalog.table("region").append([(100, "MOON", *[None] * (width - 2))])
+    catalog.add_rows("more", [], {"r_regionkey": "integer", "r_name": "char(25)"})
+    append_rows(catalog.table("more"), ["100|MOON|", "200|MARS"])
+    j = B.hash_join(B.scan("region", ["r_regionkey", "r_name"]), ["r_regionkey"], ["r_name"], B.project(B.scan("more", ["r_regionkey"]), [assign("k", column("r_regionkey"))]), ["k"])
+    return lower(B.project(j, [column("k"), column("r_regionkey"), column("r_name")]), catalog).df
+
+
+def sink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered output: values joined, dates as day numbers, char(1) as codes."""
+    plan = B.scan("orders", ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
+    return rendered(lower(plan, load_star_schema(spark, sf_dir, ["orders"])))
+
+
+def sink_discarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run without output: no rows come back, its profile has the row count."""
+    with with_config(spark, "enable_output=false;enable_profiling=true"):
+        out, told = run_query(lower(B.scan("orders", ["o_orderkey"]), load_star_schema(spark, sf_dir, ["orders"])))
+    return spark.createDataFrame([(out is None, json.loads(told)["rows"])], "discarded boolean, n long")
+
+
+def configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q6's shape under other settings: the rows stay the same. The rows are few
+    and the plan is run inside the settings."""
+    with with_config(spark, "vector_size=256;parallelism=3;enable_reoptimize=false;dynamic_minmax=false"):
+        rows = [tuple(r) for r in run("tpch_q6", spark, sf_dir).collect()]
+    return spark.createDataFrame(rows, "revenue decimal(38,0)")
+
+
+_ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "source_delimited": (file_scan, _FILE_SQL),
+    "source_columnar_copy": (lambda spark, sf_dir: file_scan(spark, sf_dir, cached=True), _FILE_SQL),
+    "source_row_limit": (file_limited, "SELECT LEAST(COUNT(*), 100) AS n FROM orders"),
+    "source_append": (appended, "SELECT 100 AS k, 100 AS r_regionkey, 'MOON' AS r_name"),
+    "sink_rendered": (sink_rows, f"SELECT concat_ws('|', o_orderkey, ascii(o_orderstatus), {cents('o_totalprice')}, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 2440588) AS row FROM orders"),
+    "sink_discarded": (sink_discarded, "SELECT TRUE AS discarded, COUNT(*) AS n FROM orders"),
+    "config_neutral": (configured, _SQL_Q6),
+}
+
+
+@query("typed_literals", f"SELECT o_orderkey FROM orders WHERE {cents('o_totalprice')} >= 10000050 AND o_orderdate < DATE '1997-06-01'")
+def _():
+    price, day = SqlType.parse("decimal(10,2)"), SqlType.parse("date")
+    x = B.select(B.scan("orders", ["o_orderkey", "o_totalprice", "o_orderdate"]), F(">=", "o_totalprice", K(price.literal("100000.50"))))
+    return B.project(B.select(x, F("<", "o_orderdate", K(day.literal("1997-06-01")))), [column("o_orderkey")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: (lambda spark, sf_dir, n=name: run(n, spark, sf_dir)) for name in PLANS}
     out["tpch_q6_reordered"] = lambda spark, sf_dir: run("tpch_q6", spark, sf_dir, reorder_filters=True)
     out["sort_multikey"] = sorted_customers
-    return out
+    return out | {name: entry for name, (entry, _) in _ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: sql for name, (_, sql) in PLANS.items()}
     out["tpch_q6_reordered"] = _SQL_Q6
     out["sort_multikey"] = f"SELECT c_custkey, {cents('c_acctbal')} AS c_acctbal FROM customer ORDER BY 2 DESC, 1"
-    return out
+    return out | {name: sql for name, (_, sql) in _ENTRIES.items()}

@@ -14,7 +14,7 @@ from basalt.operators.sort import sort, top
 from basalt.plans import Builder, assign, column, constant, function, lower
 from basalt.plans.nodes import scanned_tables
 from basalt.plans.tune import order_filters
-from basalt.result import profile, rendered
+from basalt.result import discard, profile, progress, rendered, run
 from basalt.sources import append_rows, load_delimited, load_star_schema
 from basalt.streaming import run_on_batches
 from basalt.types import SqlType, narrowest_bits
@@ -148,6 +148,82 @@ def test_rendered(spark):
     assert json.loads(profile(df))["columns"] == ["d", "f", "n", "b"]
 
 
+def test_output_knows_the_plan(spark):
+    x = lower(B.scan("lineitem", ["l_orderkey", "l_returnflag", "l_shipdate"]), load_star_schema(spark, SF))
+    assert x.char1 == {"l_returnflag"}
+    row = x.df.first()
+    days = (row.l_shipdate - dt.date(1970, 1, 1)).days + 2440588
+    assert rendered(x).first()[0] == f"{row.l_orderkey}|{ord(row.l_returnflag)}|{days}"
+    renamed = B.hash_group_by(B.project(B.scan("lineitem", ["l_returnflag", "l_tax"]), [assign("f", column("l_returnflag")), column("l_tax")]), ["f"], [], [assign("m", function("max", "l_tax"))])
+    assert lower(renamed, load_star_schema(spark, SF)).char1 == {"f"}
+
+
+def test_run_and_profile(spark):
+    x = lower(q.tpch_q1(), load_star_schema(spark, SF, ["lineitem"]))
+    out, told = run(x)
+    told = json.loads(told)
+    assert out.count() == told["rows"] == 6
+    scan = next(o for o in told["operators"] if o["operator"].startswith("Scan"))
+    assert scan["metrics"]["numOutputRows"] > 5000 and sum("HashAggregate" in o["operator"] for o in told["operators"]) == 2
+    with with_config(spark, "enable_output=0;enable_profiling=0"):
+        assert run(x) == (None, None)
+
+
+def test_progress(spark):
+    spark.sparkContext.setJobGroup("watched", "a scan")
+    assert progress(spark, "watched") == 0
+    discard(lower(B.scan("lineitem", ["l_orderkey"]), load_star_schema(spark, SF)).df)
+    assert progress(spark, "watched") == 1
+    spark.sparkContext.setJobGroup("", "")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["tpch_q3", "tpch_q9", "tpch_q10", "tpch_q18", "join_group", "join_then_sum", "join_fk1_unique", "join_fk1_payload", "join_nm", "join_multikey", "group_payload"])
+def test_plans_hash(spark, name):
+    assert "SortAggregate" not in _plan(q.run(name, spark, "/root/testdata/sf0.01"))
+
+
+def test_unique_builds_are_not_reduced(spark):
+    for name, aggregates in (("join_group", 2), ("tpch_q9", 2), ("tpch_q10", 2)):
+        assert _plan(q.run(name, spark, "/root/testdata/sf0.01")).count("HashAggregate(") == aggregates
+
+
+def test_schema_does_not_depend_on_rows(spark):
+    kinds = set()
+    for rows_ in (10, 10**7, 10**11):
+        c = load_star_schema(spark, SF, ["lineitem"])
+        c.table("lineitem")._rows = rows_
+        kinds.add(lower(q.tpch_q1(), c).df.schema.simpleString())
+    assert len(kinds) == 1
+    with with_config(spark, "max_tuples=1000"):
+        assert "sum_charge:bigint" in lower(q.tpch_q1(), load_star_schema(spark, SF, ["lineitem"])).df.schema.simpleString()
+
+
+def test_sums_beyond_64_bits(spark):
+    c = Catalog(spark)
+    c.add_rows("x", [(v,) for v in (2**63 - 1, 2**63 - 1, -(2**63), -1, -5, 2**40, 0)], {"a": "bigint"})
+    x = lower(B.hash_group_by(B.scan("x", ["a"]), [], [], [assign("s", function("sum", "a"))]), c)
+    assert int(x.df.first()[0]) == 2 * (2**63 - 1) - 2**63 - 6 + 2**40
+
+
+def test_runtime_bloom_filter(spark):
+    """A selective build side filters the probe before its exchange."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        o = B.select(B.scan("orders", ["o_orderkey", "o_orderpriority"]), function("=", "o_orderpriority", constant("1-URGENT")))
+        x = B.hash_join(o, ["o_orderkey"], ["o_orderpriority"], B.scan("lineitem", ["l_orderkey", "l_quantity"]), ["l_orderkey"], fk1=True)
+        assert "might_contain" in _plan(lower(x, load_star_schema(spark, "/root/testdata/sf0.01")).df)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("end", ["", "|"])
 def test_delimited(spark, tmp_path, end):
     path, cache = tmp_path / "x.tbl", tmp_path / "cache"
@@ -161,7 +237,14 @@ def test_delimited(spark, tmp_path, end):
     load_delimited(c, "y", str(path), declared, cache=str(cache))
     assert rows(lower(B.scan("y", list(declared)), c)) == sorted(expected)
     append_rows(c.table("y"), ["13|13|1.5|2.25"])
-    assert rows(lower(B.scan("y", list(declared)), c))[-1] == (13, 13, 15, 22500)
+    append_rows(c.table("y"), ["14|14|1.5|2.25|"])
+    assert rows(lower(B.scan("y", list(declared)), c))[-2:] == [(13, 13, 15, 22500), (14, 14, 15, 22500)]
+    for bad in ("1|1|1.5|2|3", "1|1|1.5"):
+        with pytest.raises(ValueError):
+            append_rows(c.table("y"), [bad])
+    path.write_text(f"7|7|1.0|1.0{end}\n")  # a changed file is read anew
+    load_delimited(c, "z", str(path), declared, cache=str(cache))
+    assert rows(lower(B.scan("z", list(declared)), c)) == [(7, 7, 10, 10000)]
 
 
 def test_delimited_limit_and_failure(spark, tmp_path):
