@@ -22,8 +22,11 @@ sets have a Jaccard similarity of ``THRESHOLD`` or more.
 
 Defined cases: a null text is empty; a text of fewer than five words is one
 shingle of all its words; texts without words have no links except to equal
-texts; a null id sorts first; rows that share an id stay apart unless their
-texts are equal; of equal rows one stays where one document is kept.
+texts; an empty table gives no rows; a null id sorts first; rows that share an
+id stay apart unless their texts are equal, and come in the order of a hash of
+their text; of equal rows one stays where one document is kept; texts of any
+length are taken whole; further columns pass through :func:`one_per_class` by
+place, so that no name can clash.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ from xxhash import xxh3_128_digest
 from . import groups as g_
 from .groups import ASK, G, ID, Texts
 from .hashing import Words, mix, window_hashes
-from .storage import durable
+from .storage import drop, durable, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -267,16 +270,26 @@ def _verify(threshold: float):
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """``v, root`` for every vertex of ``u, v`` edges: the least vertex connected to it."""
-    now = durable(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    """``v, root`` for every vertex of ``u, v`` edges: the least vertex connected to it.
+
+    The least neighbours are written before edges are joined with them: both
+    sides of each join are then plain exchanges of stored rows, which adaptive
+    execution splits where a hub holds many of them. Tables of past rounds are
+    removed.
+    """
+    spark = edges.sparkSession
+    now, folder = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     while True:
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v"))
-        now = durable(small.where("u != v").distinct())
+        low, low_at = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large, large_at = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        least, least_at = written(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v"))
+        now, new_folder_ = written(small.where("u != v").distinct())
+        for past in (folder, low_at, large_at, least_at):
+            drop(spark, past)
+        folder = new_folder_
         new = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if new == mark:
             return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
@@ -297,7 +310,8 @@ class Join:
         one = self.signed.groupBy("h").agg(F.min(F.struct("v", G, "labels")).alias("m"), F.count(F.lit(1)).alias("copies"))
         self.reps = durable(one.select("h", "m.v", f"m.{G}", "m.labels", "copies"))
         rows = self.reps.select("v", G, "copies", F.xxhash64("v").alias("key"), F.posexplode("labels").alias("tree", "label"))
-        buckets = rows.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("leader")).where("n > 1").drop("n")
+        # written, so that a label of very many texts can be split in the join
+        buckets = durable(rows.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("leader")).where("n > 1").drop("n"))
         held = durable(rows.drop("key").join(buckets, ["tree", "label"]).drop("label"))
         # written, so that the join below reads two plain exchanges and a leader of very many can be split
         members = durable(held.select("v", "leader").distinct().groupBy("leader").agg(F.count(F.lit(1)).alias("members")))
@@ -326,15 +340,17 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The documents without those that have a kept near duplicate: of each
     class the row with the least id stays, with all its columns."""
     columns = docs.columns
-    rest = [c for c in columns if c != text_col]
-    marked = docs.withColumn("__none", F.col(f"`{text_col}`").isNull())
-    x = Join(marked, id_col, text_col, threshold, [*rest, "__none"])
+    names = [f"c{i}" for i in range(len(columns))]
+    id_at, text_at = names[columns.index(id_col)], names[columns.index(text_col)]
+    marked = docs.toDF(*names).withColumn("was_null", F.col(text_at).isNull())
+    rest = [c for c in marked.columns if c != text_at]
+    x = Join(marked, id_at, text_at, threshold, rest)
     stay = x.decisions().where("v = root").select(G, "v").distinct()
-    names = [*[f"__k{i}" for i in range(len(rest) + 1)], g_.TEXT]
+    held = [*[f"__k{i}" for i in range(len(rest))], g_.TEXT]
 
     def keep(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows or not reply.num_rows:
-            return table.select(names).slice(0, 0)
+            return table.select(held).slice(0, 0)
         t = g_.ordered(table)
         left = set(reply.column("v").to_pylist())
         mask = []
@@ -342,12 +358,12 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             v = vertex(i, text)
             mask.append(v in left)
             left.discard(v)
-        return t.filter(pa.array(mask, pa.bool_())).select(names)
+        return t.filter(pa.array(mask, pa.bool_())).select(held)
 
-    schema = T.StructType([*g_.keep_fields(marked, [*rest, "__none"]), T.StructField(g_.TEXT, T.BinaryType())])
-    out = x.by_group.groupBy(G).cogroup(stay.groupBy(G)).applyInArrow(keep, schema).toDF(*rest, "__none", "__text")
-    text = F.when(~F.col("__none"), F.col("__text").cast("string")).alias(text_col)
-    return out.select(*[text if c == text_col else F.col(f"`{c}`") for c in columns])
+    schema = T.StructType([*g_.keep_fields(marked, rest), T.StructField(g_.TEXT, T.BinaryType())])
+    out = x.by_group.groupBy(G).cogroup(stay.groupBy(G)).applyInArrow(keep, schema).toDF(*rest, text_at)
+    text = F.when(~F.col("was_null"), F.col(text_at).cast("string"))
+    return out.select(*[(text if n == text_at else F.col(n)).alias(c) for n, c in zip(names, columns, strict=True)])
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:

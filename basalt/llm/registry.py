@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
@@ -33,7 +32,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_bpe": op9_bpe,
         "op10_substring_dedup": op10_substring_dedup,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -1,29 +1,27 @@
-"""Folders that driver and executors share."""
+"""Tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.folders import new_folder, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="shared")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+__all__ = ["drop", "durable", "new_folder", "shared_folder", "written"]
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows written to the shared folder and read back, and where they lie:
+    no lineage is left that a lost executor could make it repeat."""
+    folder = new_folder(df.sparkSession, "rows")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read back: no lineage is left
-    that a lost executor could make it repeat."""
-    folder = new_folder(df.sparkSession, "rows")
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return written(df)[0]
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    """Removes a table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
