@@ -6,8 +6,9 @@ threshold does not depend on the document, so sketches of parts merge by
 union, and the share of one sketch found in another estimates containment
 however unequal the documents are.
 
-Defined cases: a null text is empty; a text of fewer than five words is one
-shingle; the least hash is always kept, so that only a text without words has
+Defined cases: a null text is empty; an empty table gives no rows; a text of any
+length is taken whole; other columns are not read, so none can clash; a text of
+fewer than five words is one shingle; the least hash is always kept, so that only a text without words has
 an empty fingerprint; two empty fingerprints have likeness 1, an empty and
 another 0; a null id sorts first; rows that share an id are one place in the
 order of documents, and the one with the least text hash stands for it.
@@ -32,22 +33,30 @@ _NULL_ID = -(2**63)
 
 def with_sketch(df: DataFrame, text_col: str, out: str, fraction: float = FRACTION, shingle: int = SHINGLE) -> DataFrame:
     """``df`` with ``out``, the sorted distinct hashes of the text's sketch."""
-    limit = -(2**63) + int(2**64 * fraction)
+    limit = _limit(fraction)
     w, h = f"{out}__w", f"{out}__h"
     df = df.withColumn(w, F.transform(F.filter(F.split(F.col(text_col), _SPACE), lambda x: x != ""), lambda x: F.xxhash64(x)))
     n = F.size(w)
     at = lambda i, k: F.get(F.col(w), i + k)
     rolling = F.transform(F.sequence(F.lit(0), n - shingle), lambda i: F.xxhash64(*[at(i, k) for k in range(shingle)]))
     df = df.withColumn(h, F.when(n >= shingle, rolling).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")))
+    return df.withColumn(out, F.sort_array(F.array_distinct(_kept(F.col(h), limit)))).drop(w, h)
+
+
+def _kept(h: Column, limit: int) -> Column:
+    """The hashes below the limit, or where there is none the least."""
     low = F.filter(h, lambda x: x < F.lit(limit))
-    least = F.array(F.array_min(h))
-    kept = F.when(F.size(h) == 0, F.col(h)).when(F.array_min(h) >= F.lit(limit), least).otherwise(low)
-    return df.withColumn(out, F.sort_array(F.array_distinct(kept))).drop(w, h)
+    return F.when(F.size(h) == 0, h).when(F.array_min(h) >= F.lit(limit), F.array(F.array_min(h))).otherwise(low)
+
+
+def merged(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """The sketch of all shingles of two documents, from their sketches: a least
+    hash that one had to keep goes where the other has hashes below the limit."""
+    return F.sort_array(_kept(F.array_union(a, b), _limit(fraction)))
 
 
-def merged(a: Column, b: Column) -> Column:
-    """The sketch of two documents together."""
-    return F.sort_array(F.array_union(a, b))
+def _limit(fraction: float) -> int:
+    return -(2**63) + int(2**64 * fraction)
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -6,9 +6,14 @@ document, in order, are matched against ordered rules: a rule names a licence
 by a sequence of identifiers; rules are tried from the most specific on, and a
 match uses up its identifiers.
 
-Defined cases: null and empty texts have no sentences; a document may name
-several licences, or one twice; sentences may be wrapped over lines and carry
-comment marks; ties between rules go to the earlier rule.
+Between the sentences of a rule there may be copyright notices and sentences
+that are not known, but no sentence of another licence.
+
+Defined cases: null and empty texts have no sentences; an empty table gives no
+rows; a document may name several licences, or one twice; sentences may be
+wrapped over lines and carry comment marks; texts of any length are read whole;
+ties between rules go to the earlier rule; rows that repeat or share an id are
+scanned each; other columns are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "UNKNOWN"
 #: Substrings of sentences that may be about licensing (lower case).
-TRIGGERS = ("licens", "licenc", "copyright", "permission", "redistribut", "warrant", "public domain", "liable", "rights reserved", "endorse")
+TRIGGERS = ("licens", "licenc", "copyright", "permission", "redistribut", "warrant", "public domain", "liable", "rights reserved", "endorse", "provided", "origin of this software", "copies of the work", "do what the")
 #: Known sentences as patterns over normalised text.
 SENTENCES: list[tuple[str, str]] = [
     ("spdx", r"spdx license identifier (?P<name>[a-z0-9.+ ]+)"),
@@ -33,7 +38,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("mit-warranty", r"the software is provided as is without warranty of any kind express or implied\b.*"),
     ("mit-liability", r"in no event shall the authors or copyright holders be liable\b.*"),
     ("mit-ref", r"(?:this \w+ is |\w+ is )?(?:released|licensed|distributed|available) under (?:the )?mit license"),
-    ("isc-grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted\b.*"),
+    ("isc-grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that\b.*"),
     ("isc-warranty", r"the software is provided as is and the author disclaims all warranties\b.*"),
     ("bsd-grant", r"redistribution and use in source and binary forms with or without modification are permitted\b.*"),
     ("bsd-source", r"(?:\d )?redistributions of source code must retain\b.*"),
@@ -51,6 +56,26 @@ SENTENCES: list[tuple[str, str]] = [
     ("cc-ref", r"(?:this \w+ is |\w+ is )?(?:released|licensed|distributed|available) under (?:a |the )?(?:creative commons |cc )(?P<name>by(?: nc)?(?: sa| nd)? \d\.\d|0(?: \d\.\d)?)"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("public-domain", r"(?:this \w+ is )?(?:placed |released )?in(?:to)? the public domain"),
+    ("apache2-title", r"(?:apache license )?version 2\.0 january 2004\b.*"),
+    ("apache2-copyright", r"(?:2 )?grant of copyright license subject to the terms and conditions of this license each contributor hereby grants\b.*|subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license\b.*"),
+    ("apache2-patent", r"(?:3 )?grant of patent license subject to the terms and conditions of this license each contributor hereby grants\b.*|subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:except as stated in this section )?patent license\b.*"),
+    ("apache2-redistribution", r"(?:4 )?(?:redistribution )?you may reproduce and distribute copies of the work or derivative works thereof in any medium\b.*"),
+    ("gpl-title", r"gnu general public license version (?P<name>[123])\b.*"),
+    ("lgpl-title", r"gnu lesser general public license version (?P<name>[23](?:\.1)?)\b.*"),
+    ("agpl-title", r"gnu affero general public license version (?P<name>3)\b.*"),
+    ("gnu-verbatim", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl3-preamble", r"the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl2-preamble", r"the licenses for most software are designed to take away your freedom to share and change it"),
+    ("mpl-title", r"mozilla public license version (?P<name>1\.1|2\.0)\b.*"),
+    ("epl-title", r"eclipse public license v (?P<name>[12]\.0)\b.*"),
+    ("epl-accompanying", r"the accompanying program is provided under the terms of this eclipse public license\b.*"),
+    ("zlib-warranty", r"this software is provided as is without any express or implied warranty"),
+    ("zlib-grant", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely\b.*"),
+    ("zlib-origin", r"(?:1 )?the origin of this software must not be misrepresented\b.*"),
+    ("boost-grant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license\b.*"),
+    ("boost-title", r"boost software license version 1\.0\b.*"),
+    ("wtfpl", r"(?:0 )?you just do what the fuck you want to"),
+    ("zero-bsd", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("reserved", r"(?:copyright .*)?all rights reserved"),
     ("notice", r"copyright (?:c )?(?:\d{4}\b).*"),
 ]
@@ -61,6 +86,21 @@ RULES: list[tuple[tuple[str, ...], str]] = [
     (("mit-grant", "mit-notice", "mit-warranty", "mit-liability"), "MIT"),
     (("mit-grant", "mit-notice", "mit-warranty"), "MIT"),
     (("isc-grant", "isc-warranty"), "ISC"),
+    (("zero-bsd", "isc-warranty"), "0BSD"),
+    (("boost-title", "boost-grant"), "BSL-1.0"),
+    (("boost-grant",), "BSL-1.0"),
+    (("zlib-warranty", "zlib-grant", "zlib-origin"), "Zlib"),
+    (("zlib-warranty", "zlib-grant"), "Zlib"),
+    (("apache2-title", "apache2-copyright", "apache2-patent", "apache2-redistribution"), "Apache-2.0"),
+    (("apache2-copyright", "apache2-patent", "apache2-redistribution"), "Apache-2.0"),
+    (("gpl-title", "gnu-verbatim", "gpl3-preamble"), "GPL-{name}.0"),
+    (("gpl-title", "gnu-verbatim", "gpl2-preamble"), "GPL-{name}.0"),
+    (("agpl-title", "gnu-verbatim"), "AGPL-{name}.0"),
+    (("lgpl-title", "gnu-verbatim"), "LGPL-{name}"),
+    (("gpl-title", "gnu-verbatim"), "GPL-{name}.0"),
+    (("epl-title", "epl-accompanying"), "EPL-{name}"),
+    (("epl-accompanying",), "EPL"),
+    (("mpl-title",), "MPL-{name}"),
     (("apache2-ref", "apache2-use", "apache2-copy", "apache2-warranty"), "Apache-2.0"),
     (("spdx",), "{name}"),
     (("apache2-ref",), "Apache-2.0"),
@@ -71,6 +111,7 @@ RULES: list[tuple[tuple[str, ...], str]] = [
     (("mpl-ref",), "MPL-2.0"),
     (("cc-ref",), "CC-{name}"),
     (("unlicense",), "Unlicense"),
+    (("wtfpl",), "WTFPL"),
     (("public-domain",), "public-domain"),
     (("reserved",), "all-rights-reserved"),
 ]
@@ -174,26 +215,36 @@ def _name(template: str, stated: str) -> str:
     return template.replace("{name}", stated).replace("BSD--Clause", "BSD")
 
 
+#: Identifiers that may stand between those of a rule.
+BETWEEN = {UNKNOWN, "notice", "reserved"}
+
+
+def _match(ids: list[tuple[str, str]], free: list[bool], rule: tuple[str, ...], i: int) -> list[int] | None:
+    """Places of a rule's identifiers from the one at ``i`` on."""
+    places: list[int] = []
+    for key in rule:
+        while places and i < len(ids) and ids[i][0] != key and (ids[i][0] in BETWEEN or not free[i]):
+            i += 1
+        if i == len(ids) or ids[i][0] != key or not free[i]:
+            return None
+        places.append(i)
+        i += 1
+    return places
+
+
 def matched(ids: list[tuple[str, str]]) -> list[str]:
     """Licences by the ordered rules, in the order of their first sentence."""
     free, found = [True] * len(ids), []
+    at: dict[str, list[int]] = {}
+    for i, (key, _) in enumerate(ids):
+        at.setdefault(key, []).append(i)
     for rule, template in RULES:
-        i = 0
-        while i < len(ids):
-            places, k = [], i
-            for key in rule:
-                while k < len(ids) and not (free[k] and ids[k][0] == key):
-                    k += 1
-                if k == len(ids):
-                    break
-                places.append(k)
-                k += 1
-            if len(places) < len(rule):
-                break
-            for p in places:
-                free[p] = False
-            found.append((places[0], _name(template, ids[places[0]][1])))
-            i = places[0] + 1
+        for i in at.get(rule[0], ()):
+            places = _match(ids, free, rule, i)
+            if places:
+                for p in places:
+                    free[p] = False
+                found.append((places[0], _name(template, ids[places[0]][1])))
     return [name for _, name in sorted(found)]
 
 

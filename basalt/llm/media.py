@@ -7,10 +7,15 @@ time scale, duration, and the byte ranges of keyframes; the payload itself is
 only read by :func:`sample_bytes`, through those tables. Fragmented files are
 not covered: their boxes are walked, but samples in ``moof`` are not decoded.
 
-Defined cases: a null payload is empty and stored as one frame of padding; a
-file without a movie box, or with a box that overruns its parent, has no
-tracks; a track without a sync-sample box has only keyframes, as the format
-says; a table that is cut short ends where its bytes end.
+Defined cases: a null payload is empty and stored as one frame of padding; an
+empty table gives no rows; equal payloads, repeated rows among them, give equal
+files, so there are no ties; a payload of any length is one file, held whole in
+one task; other columns pass through, whatever their names, but one that has
+the name of a result is replaced by it. A file without a movie box, or with a
+box that overruns its parent, has no tracks; boxes nested deeper than ``DEPTH``
+are not entered; a track without a sync-sample box has only keyframes, as the
+format says (that of raw frames is one); a table that is cut short ends where
+its bytes end; chunks of no samples have none.
 """
 
 from __future__ import annotations
@@ -32,8 +37,10 @@ WIDTH, HEIGHT = 32, 18
 FRAME = WIDTH * HEIGHT
 PAD = b"\xff"
 TIME_SCALE, FRAME_TIME = 24_000, 1_000
-#: Frames of a chunk; the first frame of each chunk is a keyframe.
+#: Frames of a chunk.
 CHUNK = 24
+#: Boxes inside boxes up to which files are walked; the format needs some ten.
+DEPTH = 64
 #: Boxes that hold other boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
 _MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -78,7 +85,6 @@ def mux(payload: bytes) -> bytes:
         b"stbl",
         _full(b"stsd", struct.pack(">I", 1), entry),
         _full(b"stts", struct.pack(">III", 1, frames, FRAME_TIME)),
-        _full(b"stss", struct.pack(">I", chunks), (np.arange(chunks) * CHUNK + 1).astype(">u4").tobytes()),
         _full(b"stsc", struct.pack(">I", len(runs)), *[struct.pack(">III", *r) for r in runs]),
         _full(b"stsz", struct.pack(">II", FRAME, frames)),
         _full(b"co64" if wide else b"stco", struct.pack(">I", chunks), offsets.astype(">u8" if wide else ">u4").tobytes()),
@@ -91,26 +97,28 @@ def mux(payload: bytes) -> bytes:
     return b"".join((ftyp, header, data, _box(b"moov", mvhd, _box(b"trak", tkhd, mdia))))
 
 
-def boxes(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+def boxes(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """(path, start of body, end of body) of every box, depth first."""
-    end = len(data) if end is None else end
-    at = start
-    while at + 8 <= end:
+    open_: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while open_:
+        at, end, path = open_.pop()
+        if at + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, at)
         head = 8
         if size == 1:
             if at + 16 > end:
-                return
+                continue
             size, head = struct.unpack_from(">Q", data, at + 8)[0], 16
         elif size == 0:
             size = end - at
         if size < head or at + size > end:
-            return
+            continue
         here = (*path, kind)
         yield here, at + head, at + size
-        if kind in CONTAINERS:
-            yield from boxes(data, at + head, at + size, here)
-        at += size
+        open_.append((at + size, end, path))
+        if kind in CONTAINERS and len(here) < DEPTH:
+            open_.append((at + head, at + size, here))
 
 
 @dataclass
@@ -164,9 +172,7 @@ def _track(data: memoryview, tables: dict[bytes, tuple[int, int]]) -> Track:
             chunk = np.repeat(np.arange(len(each)), each)[: len(t.sizes)]
             t.sizes = t.sizes[: len(chunk)]
             before = np.cumsum(t.sizes) - t.sizes
-            lead = np.searchsorted(chunk, np.arange(len(each)))
-            lead = np.minimum(lead, max(len(chunk) - 1, 0))
-            t.offsets = at_chunk[chunk] + before - before[lead][chunk]
+            t.offsets = at_chunk[chunk] + before - before[np.searchsorted(chunk, chunk)]
     n = len(t.offsets)
     t.sizes = t.sizes[:n]
     if b"stss" in tables:
@@ -200,23 +206,23 @@ def sample_bytes(media: bytes, track: Track) -> bytes:
 
 
 def with_media(docs: DataFrame, text_col: str, out: str = "media") -> DataFrame:
-    """``docs`` with the text stored as a media file in a binary column."""
+    """``docs`` with the text stored as a media file in a binary column ``out``,
+    which replaces the text and any column of that name."""
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                raw = part.column(part.schema.get_field_index("__payload"))
-                files = [mux(x or b"") for x in raw.to_pylist()]
-                keep = [part.column(i) for i, n in enumerate(part.schema.names) if n != "__payload"]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array(files, pa.binary())], names=[*[n for n in part.schema.names if n != "__payload"], out])
+                files = [mux(x or b"") for x in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(files, pa.binary())], names=part.schema.names)
 
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, out)]
-    fields = [f for f in docs.schema.fields if f.name not in (text_col, out)]
-    return docs.select(*rest, F.col(f"`{text_col}`").cast("binary").alias("__payload")).mapInArrow(store, T.StructType([*fields, T.StructField(out, T.BinaryType())]))
+    kept = [f for f in docs.schema.fields if f.name not in (text_col, out)]
+    # columns by place, so that no name can clash
+    rows = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)], F.col(f"`{text_col}`").cast("binary").alias("payload"))
+    return rows.mapInArrow(store, rows.schema).toDF(*[f.name for f in kept], out)
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, time_scale long, duration long, samples long, key_ranges array<struct<offset:long,length:long>>"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, time_scale long, duration long, samples long, luma_sum long, key_ranges array<struct<offset:long,length:long>>"
 
 
 def with_features(media: DataFrame, media_col: str = "media") -> DataFrame:
@@ -229,7 +235,7 @@ def with_features(media: DataFrame, media_col: str = "media") -> DataFrame:
     kept = [c for c in media.columns if c != media_col and c not in names]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("codec", pa.string()), ("time_scale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("key_ranges", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])))])
+        schema = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("codec", pa.string()), ("time_scale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("luma_sum", pa.int64()), ("key_ranges", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])))])
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -250,13 +256,13 @@ def _features(media: bytes) -> dict:
     return {
         "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]),
         "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "codec": t.codec, "time_scale": t.time_scale,
-        "duration": t.duration, "samples": len(t.sizes), "key_ranges": [{"offset": a, "length": n} for a, n in t.key_ranges],
+        "duration": t.duration, "samples": len(t.sizes), "luma_sum": int(np.frombuffer(payload, np.uint8).sum(dtype=np.int64)), "key_ranges": [{"offset": a, "length": n} for a, n in t.key_ranges],
     }
 
 
 def op2_media(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     x = with_features(with_media(docs, "text"))
-    ranges = F.array_join(F.transform("key_ranges", lambda r: F.concat_ws("+", r["offset"], r["length"])), ",")
-    feature = F.concat_ws(";", F.concat(F.lit("codec="), "codec"), F.concat(F.lit("scale="), "time_scale"), F.concat(F.lit("duration="), "duration"), F.concat(F.lit("samples="), "samples"), F.concat(F.lit("keys="), ranges))
+    told = {"codec": F.col("codec"), "scale": F.col("time_scale"), "duration": F.col("duration"), "samples": F.col("samples"), "luma": F.col("luma_sum"), "keys": F.size("key_ranges"), "first": F.get("key_ranges", F.lit(0))["offset"], "keybytes": F.aggregate("key_ranges", F.lit(0).cast("long"), lambda n, r: n + r["length"])}
+    feature = F.concat_ws(";", *[F.concat(F.lit(f"{k}="), c.cast("string")) for k, c in told.items()])
     return x.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

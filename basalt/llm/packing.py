@@ -15,7 +15,10 @@ place.
 
 Defined cases: null and empty texts have 0 tokens and count as length 1 in a
 batch; a document longer than the budget is a batch of its own; repeated rows
-and shared ids are packed as often as they occur; an empty table gives no rows.
+and shared ids are packed as often as they occur, spread over shards by a number
+that is stored with each row; a null id sorts first; an empty table gives no
+rows; :func:`pack` passes other columns through, but replaces those that have
+the name of a result.
 """
 
 from __future__ import annotations
@@ -95,7 +98,8 @@ def optimal_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[
 
 def pack(lengths: DataFrame, length_col: str, order_by: list[str], buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
     """``lengths`` with ``bucket``, ``bucket_length``, ``batch`` (within the
-    bucket) and ``slot`` (within the batch)."""
+    bucket) and ``slot`` (within the batch). ``order_by`` tells rows apart."""
+    lengths = lengths.drop("bucket", "bucket_length", "batch", "slot")
     n = F.col(f"`{length_col}`")
     bins = lengths.groupBy(grid(n).alias("g")).agg(F.max(n).alias("longest"), F.count(F.lit(1)).alias("docs")).collect()
     bins.sort(key=lambda r: r["longest"])
@@ -120,7 +124,24 @@ def pack(lengths: DataFrame, length_col: str, order_by: list[str], buckets: int
 
 def packed_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, n_tokens`` (words) with their place. Texts are read once."""
-    return pack(durable(docs.select("doc_id", word_count(F.col("text")).alias("n_tokens"))), "n_tokens", ["doc_id"])
+    return packed(docs.select("doc_id", word_count(F.col("text")).alias("n_tokens")), "n_tokens", ["doc_id"])
+
+
+def packed(rows: DataFrame, length_col: str, order_by: list[str], buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
+    """:func:`pack` of rows that need not differ: each is stored with a number of its own."""
+    stored = durable(rows.withColumn("__number", F.monotonically_increasing_id()))
+    return pack(stored, length_col, [*order_by, "__number"], buckets, budget).drop("__number")
+
+
+def batches(packed: DataFrame, ids_col: str, pad: int = 0) -> DataFrame:
+    """A row per batch: ``bucket, batch`` and ``rows``, the token ids of its
+    documents by slot, each padded to the bucket's length. A batch holds no more
+    than the token budget it was packed with, or one document."""
+    ids = F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>"))
+    fill = F.array_repeat(F.lit(pad), F.greatest(F.col("bucket_length") - F.size(ids), F.lit(0)).cast("int"))
+    one = F.struct("slot", F.concat(ids, fill).alias("ids"))
+    held = packed.groupBy("bucket", "batch").agg(F.sort_array(F.collect_list(one)).alias("s"))
+    return held.select("bucket", "batch", F.transform("s", lambda x: x["ids"]).alias("rows"))
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,10 @@ own, moved by how far its path's prior odds are from the global ones.
 Defined cases: a null or empty text has no words and is rejected as not good;
 null hosts or paths are sites of their own; labels that disagree count by
 majority, ties as not good and as toxic; without labels of both kinds a head
-gives its label's smoothed share to all.
+gives its label's smoothed share to all; rows that repeat or share an id are
+judged each by its own text; texts of any length are scored whole; an empty
+table gives no rows; other columns pass through, whatever their names, but those
+named ``p_good``, ``p_toxic`` or ``keep`` are replaced.
 """
 
 from __future__ import annotations
@@ -270,9 +273,12 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     Texts are scored once; the scores are written, and with ``keep_text`` the
     texts with them, before sites are summed up and joined.
     """
-    columns = [c for c in docs.columns if c not in ("p_good", "p_toxic", "keep") and (keep_text or c != text_col)]
     model = fit(docs, labels, id_col, text_col)
-    rows = durable(scored(docs.withColumns({"__host": host, "__path": path}), model, text_col, keep_text))
+    # columns by place, so that no name can clash
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], host.alias("__host"), path.alias("__path"))
+    columns = [c for c in docs.columns if c not in ("p_good", "p_toxic", "keep") and (keep_text or c != text_col)]
+    rows = durable(scored(plain, model, names[text_col], keep_text))
     sites, mean, n_sites = site_posteriors(rows.select("__host", "__path", "__good", "__toxic"))
     sites = sites.withColumnsRenamed({"__host": "__h", "__path": "__p"})
     if n_sites <= BROADCAST_SITES:
@@ -283,7 +289,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
         prior = math.log(max(mean[h], 1e-6) / max(1 - mean[h], 1e-6))
         p[h] = _sigmoid(F.col(f"__{h}") + _logit(F.col(f"__site_{h}")) - F.lit(prior))
     keep = (p["good"] >= 0.5) & (p["toxic"] < 0.5)
-    return out.select(*[F.col(f"`{c}`") for c in columns], p["good"].alias("p_good"), p["toxic"].alias("p_toxic"), keep.alias("keep"))
+    return out.select(*[F.col(names[c]).alias(c) for c in columns], p["good"].alias("p_good"), p["toxic"].alias("p_toxic"), keep.alias("keep"))
 
 
 def classify_documents(docs: DataFrame, labels: DataFrame, keep_text: bool = True) -> DataFrame:

@@ -2,18 +2,24 @@
 
 Each page becomes a record; pages with equal payloads of at least
 ``LEAST_REVISIT`` bytes refer to the one with the smallest id (``revisit``).
+Files hold at most ``FILE_BYTES`` of payload, or one record: records of a size
+class share files, as many as its largest size allows.
 
-Reading does not trust record marks. Tasks scan the files block by block and
-emit, for every mark, the offset its record would end at. Those (offset,
-successor) edges are a forest; pointer jumping from the start of each file
-doubles the distance covered in every round and keeps only offsets that are
-reached, so a mark inside a payload is never a record. Payloads are then read
-at the reached offsets only, each byte once.
+Reading does not trust record marks. A task takes a file, scans it block by
+block and emits, for every mark, the offset its record would end at. Those
+(offset, successor) edges are a forest; pointer jumping from the start of the
+file doubles the distance covered in every round and keeps only offsets that are
+reached, so a mark inside a payload is never a record. Payloads are then read at
+the reached offsets, where they lie: neither archives nor edges are exchanged.
+A header ends before the next mark, so that marks are read in linear time.
 
 Defined cases: a null payload is empty; a null id sorts first; rows with one
-id and one payload are all responses; line breaks in a URL become spaces; a
-file that does not start with a mark has no records; a record cut short at the
-end of its file ends the chain and is dropped.
+id and one payload are all responses; an empty table gives no rows; line breaks
+in a URL become spaces; columns other than id, payload and ``url`` are not read,
+so none can clash; a payload has 2 GB at most, as all values in Spark, with its
+header. A file that does not start with a mark has no records; a record cut
+short at the end of its file ends the chain and is dropped; a revisit of a
+record that is nowhere has the digest that it states and null bytes.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import durable, new_folder
@@ -33,11 +39,14 @@ from .storage import durable, new_folder
 LEAST_REVISIT = 100
 #: Bytes of a block; marks that straddle two blocks belong to the first.
 BLOCK = 4 << 20
-RECORDS_PER_FILE = 20_000
+FILE_BYTES = 64 << 20
+#: Largest payload of a size class, in bytes; beyond the last a file has one record.
+CLASSES = (8 << 10, 128 << 10, 2 << 20)
 #: Revisits up to which their table is broadcast (16 bytes each).
 BROADCAST_REVISITS = 200_000
 _END = "\r\n\r\n"
-_MARK = re.compile(rb"WARC/1\.[01]\r\n")
+#: A mark follows the end of a record or header, or starts the file.
+_MARK = re.compile(rb"(?:\A|(?<=\r\n\r\n))WARC/1\.[01]\r\n")
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _NULL_ID = -(2**63)
 _DATE = "1970-01-01T00:00:00Z"
@@ -58,8 +67,10 @@ def with_revisits(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     return rows.join(revisits, (F.col("__id") == F.col("__rid")) & (F.col("__digest") == F.col("__rdigest")), "left").drop("__rid", "__rdigest")
 
 
-def write_warc(rows: DataFrame, folder: str) -> None:
-    """The rows of :func:`with_revisits` as archives, one per task or more."""
+def write_warc(rows: DataFrame, folder: str, sizes: Column | None = None, of: DataFrame | None = None) -> None:
+    """The rows of :func:`with_revisits` as archives, one per task or more. The
+    classes that there are come from ``sizes`` of the table ``of`` that the rows
+    were made from, which is cheaper, or from the rows."""
     again = F.col("__refers").isNotNull()
     body = F.when(again, F.lit(_HTTP)).otherwise(F.concat(F.lit(_HTTP), F.col("__payload")))
     name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
@@ -71,16 +82,30 @@ def write_warc(rows: DataFrame, folder: str) -> None:
         F.when(again, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), name(F.col("__refers")))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(_END),
     )
-    rows.select(F.concat(head, body).alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(folder)
+    size = F.octet_length("__payload")
+    edges = [0, *CLASSES]
+    found = rows.select(size.alias("s")) if of is None else of.select(sizes.alias("s"))
+    held = found.select(*[F.count_if(F.col("s") > e).alias(f"n{i}") for i, e in enumerate(edges)], F.count(F.lit(1)).alias("n")).first()
+    over = [held["n"], *[held[f"n{i}"] for i in range(1, len(edges))], 0]
+    record = rows.select(F.concat(head, body).alias("value"), size.alias("size"))
+    for i, (low, more) in enumerate(zip(edges, over[1:], strict=True)):
+        if over[i] == more and i:  # no record of this class
+            continue
+        of_class = record if not i else record.where(F.col("size") > low)
+        if i < len(CLASSES):
+            of_class = of_class.where(F.col("size") <= CLASSES[i])
+        most = max(1, FILE_BYTES // CLASSES[i]) if i < len(CLASSES) else 1
+        of_class.select("value").write.mode("append").option("lineSep", _END).option("maxRecordsPerFile", most).option("compression", "gzip").text(folder)
 
 
 def archive(content: bytes) -> bytes:
     return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
 
 
-def header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
-    """Fields of the record that a mark at this offset would start, and where its block starts."""
-    end = data.find(b"\r\n\r\n", at)
+def header(data: bytes, at: int, stop: int | None = None) -> tuple[dict[str, str], int] | None:
+    """Fields of the record that a mark at this offset would start, and where its
+    block starts; none if the header does not end before ``stop``."""
+    end = data.find(b"\r\n\r\n", at, stop)
     if end < 0:
         return None
     fields = {}
@@ -91,21 +116,32 @@ def header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     return fields, end + 4
 
 
-def successor(data: bytes, at: int) -> int:
+def successor(data: bytes, at: int, stop: int | None = None) -> int:
     """Offset behind the record at this mark, or -1 if it is none."""
-    found = header(data, at)
+    found = header(data, at, stop)
     if found is None or not re.fullmatch(r"\d{1,18}", found[0].get("content-length", "")):
         return -1
     end = found[1] + int(found[0]["content-length"]) + 4
     return end if end <= len(data) and data[end - 4 : end] == b"\r\n\r\n" else -1
 
 
-def candidates(data: bytes, block: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """(offset, successor) of every mark, block by block."""
+def marks(data: bytes, block: int = BLOCK) -> Iterator[int]:
     for start in range(0, max(len(data), 1), block):
         for m in _MARK.finditer(data, start, min(len(data), start + block + 9)):
-            if m.start() < start + block:
-                yield m.start(), successor(data, m.start())
+            if m.start() < start + block and (m.start() == 0 or data[m.start() - 4 : m.start()] == b"\r\n\r\n"):
+                yield m.start()
+
+
+def candidates(data: bytes, block: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """(offset, successor) of every mark. A header reaches to the next mark at
+    most, which begins behind its last line."""
+    before = None
+    for at in marks(data, block):
+        if before is not None:
+            yield before, successor(data, before, at)
+        before = at
+    if before is not None:
+        yield before, successor(data, before)
 
 
 def reached(offsets: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -135,30 +171,26 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = False) -> DataF
     and, if asked for, ``payload``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                edges = np.array(list(candidates(archive(content.as_buffer().to_pybytes()))), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(edges), pa.string()), pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["path", "at", "after"])
-
-    def jump(table: pa.Table) -> pa.Table:
-        on = reached(table.column("at").to_numpy(), table.column("after").to_numpy())
-        return pa.table({"chain": pa.array([table.column("path")[0].as_py()]), "offsets": pa.array([on.tolist()], pa.list_(pa.int64()))})
-
-    chains = files.mapInArrow(scan, "path string, at long, after long").groupBy("path").applyInArrow(jump, "chain string, offsets array<long>")
     out = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("declared_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
     if payloads:
         out = out.append(pa.field("payload", pa.binary()))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content, offsets in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 data = archive(content.as_buffer().to_pybytes())
-                for i in range(0, len(offsets), 2000):
-                    yield pa.RecordBatch.from_pylist([_record(data, path, at, payloads) for at in offsets[i : i + 2000]], schema=out)
+                edges = np.array(list(candidates(data)), np.int64).reshape(-1, 2)
+                rows, held = [], 0
+                for at in reached(edges[:, 0], edges[:, 1]).tolist():
+                    rows.append(_record(data, path, at, payloads))
+                    held += rows[-1]["payload_bytes"] if payloads else 1 << 10
+                    if held >= 4 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, schema=out)
+                        rows, held = [], 0
+                yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     schema = "path string, offset long, record_type string, page_id long, refers_to long, declared_digest string, payload_bytes long, payload_digest string" + (", payload binary" if payloads else "")
-    return files.join(chains, files["path"] == chains["chain"]).select("path", "content", "offsets").mapInArrow(take, schema)
+    return files.mapInArrow(take, schema)
 
 
 def _page(name: str | None) -> int | None:
@@ -186,14 +218,14 @@ def resolved(records: DataFrame) -> DataFrame:
     whole = records.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
     source = whole.groupBy(F.col("page_id").alias("__source"), F.col("payload_digest").alias("__digest")).agg(F.max("payload_bytes").alias("__bytes"))
     again = records.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "declared_digest")
-    again = again.join(source, (F.col("refers_to") == F.col("__source")) & (F.col("declared_digest") == F.col("__digest")))
-    return whole.unionByName(again.select("page_id", F.col("__bytes").alias("payload_bytes"), F.col("__digest").alias("payload_digest"), "record_type", "refers_to"))
+    again = again.join(source, (F.col("refers_to") == F.col("__source")) & (F.col("declared_digest") == F.col("__digest")), "left")
+    return whole.unionByName(again.select("page_id", F.col("__bytes").alias("payload_bytes"), F.col("declared_digest").alias("payload_digest"), "record_type", "refers_to"))
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     folder = new_folder(spark, "warc")
-    write_warc(with_revisits(pages, "page_id", "html"), folder)
+    write_warc(with_revisits(pages, "page_id", "html"), folder, F.octet_length("html"), pages)
     shown = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c)
     return resolved(read_warc(spark, folder)).select(shown("page_id"), "payload_bytes", "payload_digest", "record_type", shown("refers_to"))
 

@@ -3,12 +3,15 @@
 import hashlib
 import itertools
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from basalt.llm import bpe, fingerprint, licenses, media, packing, quality, warc
@@ -29,7 +32,7 @@ def test_media_round_trip(n):
     (track,) = media.probe(file)
     assert media.sample_bytes(file, track) == media.padded(payload)
     assert (track.codec, track.duration) == ("raw", len(media.padded(payload)) // 576 * 1000)
-    assert all(file[a : a + k] == media.padded(payload)[i * 24 * 576 :][:576] for i, (a, k) in enumerate(track.key_ranges))
+    assert all(file[a : a + k] == media.padded(payload)[i * 576 :][:576] for i, (a, k) in enumerate(track.key_ranges)) and len(track.key_ranges) == len(track.sizes)
 
 
 def test_media_damaged():
@@ -66,6 +69,34 @@ def test_media_columns(docs, rows, empty):
     assert media.with_features(media.with_media(empty, "text")).count() == 0
 
 
+def test_media_odd_boxes():
+    b, full = media._box, media._full
+    u4 = lambda *x: np.array(x, ">u4").tobytes()
+    table = b(b"stbl", full(b"stsz", u4(4, 2)), full(b"stsc", u4(1, 1, 0, 1)), full(b"stco", u4(1, 8)))
+    (t,) = media.probe(b(b"mdat", b"abcdefgh") + b(b"moov", b(b"trak", b(b"mdia", b(b"minf", table)))))
+    assert len(t.offsets) == len(t.sizes) == 0 and media.sample_bytes(b"", t) == b""
+    deep = b""
+    for _ in range(5000):
+        deep = b(b"moov", deep)
+    assert media.probe(deep) == []
+
+
+def test_media_any_column_names(spark):
+    df = spark.createDataFrame([("a", "b", "c", "t")], "`__payload` string, `media` string, `c0` string, `text` string")
+    got = media.with_features(media.with_media(df, "text"))
+    assert got.columns[:2] == ["__payload", "c0"] and got.first().payload_bytes == 576
+
+
+def test_media_query(spark):
+    got = {r.doc_id: r for r in media.op2_media(spark, SF).collect()}
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        raw = (d.text or "").encode()
+        pad, r, file = media.padded(raw), got[d.doc_id], media.mux(raw)
+        n = len(pad) // 576
+        first = file.index(b"mdat") + 4
+        assert tuple(r) == (d.doc_id, len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-32:]), len(file), hashlib.sha256(file).hexdigest(), f"codec=raw;scale=24000;duration={n * 1000};samples={n};luma={sum(pad)};keys={n};first={first};keybytes={len(pad)}")
+
+
 # licences -----------------------------------------------------------------------
 
 MIT = """// Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -142,6 +173,54 @@ def test_license_sentences_wrapped_over_many_lines():
     assert licenses.recognised("our license\n" + "cell\n" * 50) == [(licenses.UNKNOWN, "")]
 
 
+APACHE_TEXT = """Apache License
+Version 2.0, January 2004
+http://www.apache.org/licenses/
+
+TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+2. Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of the Work.
+
+3. Grant of Patent License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) patent license to make, have made, use the Work.
+
+4. Redistribution. You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.
+"""
+GPL_TEXT = """GNU GENERAL PUBLIC LICENSE
+Version 3, 29 June 2007
+
+Copyright (C) 2007 The Foundation
+Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.
+
+The GNU General Public License is a free, copyleft license for software and other kinds of works.
+"""
+
+
+def test_license_full_texts():
+    for text, name in ((APACHE_TEXT, "Apache-2.0"), (ZLIB, "Zlib"), (GPL_TEXT, "GPL-3.0")):
+        assert licenses.matched(licenses.recognised(text)) == [name]
+        assert licenses.matched(licenses.recognised("\n".join(f" * {x}" for x in text.split("\n")))) == [name]
+
+
+def test_license_rules_are_contiguous():
+    ids = lambda *k: [(x, "") for x in k]
+    assert licenses.matched(ids("mit-grant", "notice", licenses.UNKNOWN, "mit-notice", "mit-warranty", "mit-liability")) == ["MIT"]
+    assert licenses.matched(ids("bsd-grant", "bsd-source", "mit-grant", "bsd-binary", "bsd-warranty")) == []
+    assert licenses.matched(ids("isc-grant", "mit-ref", "isc-warranty")) == ["MIT"]
+
+
+def test_license_query(spark):
+    """The query against the scan of each text on its own."""
+    got = {r.doc_id: r for r in licenses.op4_license_scan(spark, SF).collect()}
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = licenses.recognised(d.text or "")
+        names, keys = licenses.matched(ids), [k for k, _ in ids]
+        assert tuple(got[d.doc_id]) == (d.doc_id, ",".join(names), ">".join(keys), len(names), keys.count(licenses.UNKNOWN))
+
+
 def test_license_columns(docs, rows, empty, spark):
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([(1, MIT), (2, None), (3, "a license we do not know.")], "doc_id long, text string")).collect()}
     assert got[1].licenses == ["MIT"] and got[2].licenses == [] and got[3].sentences == [licenses.UNKNOWN]
@@ -183,6 +262,30 @@ def test_warc_no_pages(spark):
     assert warc.resolved(warc.read_warc(spark, folder)).count() == 0
 
 
+def test_warc_marks_in_linear_time():
+    for filler in (b"WARC/1.0\r\n", b"WARC/1.0\r\n\r\n\r\n", b"WARC/1.0\r\nContent-Length: 1\r\n\r\n\r\n\r\n"):
+        data = b"WARC/1.0\r\nContent-Length: %d\r\n\r\n" % (len(filler) * 300_000) + filler * 300_000 + b"\r\n\r\n"
+        began = time.process_time()
+        edges = np.array(list(warc.candidates(data)), np.int64).reshape(-1, 2)
+        assert warc.reached(edges[:, 0], edges[:, 1]).tolist() == [0] and time.process_time() - began < 20
+
+
+def test_warc_files_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CLASSES", (100, 1000))
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    rows = [(i, "u", "x" * n) for i, n in enumerate([50] * 45 + [500] * 7 + [5000] * 2)]
+    folder = new_folder(spark, "warc")
+    warc.write_warc(warc.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), "page_id", "html"), folder)
+    got = warc.read_warc(spark, folder)
+    assert got.count() == len(rows)
+    assert sorted(r["count"] for r in got.groupBy("path").count().collect()) == sorted([20, 20, 5, 2, 2, 2, 1, 1, 1])
+
+
+def test_warc_revisit_of_nothing(spark):
+    records = spark.createDataFrame([("p", 0, "revisit", 5, 4, "ab", 0, "00")], "path string, offset long, record_type string, page_id long, refers_to long, declared_digest string, payload_bytes long, payload_digest string")
+    assert tuple(warc.resolved(records).first()) == (5, None, "ab", "revisit", 4)
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_pointer_jumping(seed):
     rng = np.random.default_rng(seed)
@@ -235,6 +338,35 @@ def test_bounds_of_long_texts_are_exact(spark):
     assert sorted(r.n for r in got) == lengths and all(r.bucket_length == r.n for r in got)
 
 
+def test_batches_hold_the_tokens(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(1, [i] * rng.choice([0, 1, 5, 9, 30, 31, 32]), "b") for i in range(300)], "doc_id long, ids array<int>, bucket string")
+    placed = packing.packed(docs.withColumn("n", F.size("ids")), "n", ["doc_id"], buckets=4, budget=64)
+    got = packing.batches(placed, "ids", pad=-1).collect()
+    sizes = [[len(x) for x in r.rows] for r in got]
+    assert all(len(set(s)) == 1 and (len(s) == 1 or sum(s) <= 64) for s in sizes)
+    want = Counter(tuple(r.ids) for r in docs.collect())
+    assert Counter(tuple(t for t in x if t != -1) for r in got for x in r.rows) == want
+
+
+def test_packing_query(spark, monkeypatch):
+    """Bounds by trying all of them, and every place taken once."""
+    got = packing.op6_packing(spark, SF).collect()
+    docs = {d.doc_id: len((d.text or "").encode().split()) for d in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id: r.n_tokens for r in got} == docs
+    bounds = sorted({r.bucket_length for r in got})
+    lengths = Counter(docs.values())
+    cost = {0: 0}  # least padded size of the lengths up to each, bucket by bucket
+    order = sorted(lengths)
+    for _ in range(packing.BUCKETS):
+        step = dict(cost)
+        for j in range(1, len(order) + 1):
+            step[j] = min(cost[i] + order[j - 1] * sum(lengths[x] for x in order[i:j]) for i in cost if i < j) if any(i < j for i in cost) else step.get(j)
+        cost = {k: min(v, cost.get(k, v)) for k, v in step.items()}
+    assert sum(min(b for b in bounds if b >= n) * c for n, c in lengths.items()) == cost[len(order)]
+    assert len({(r.bucket, r.batch, r.slot) for r in got}) == len(got)
+
+
 # fingerprints -------------------------------------------------------------------
 
 
@@ -268,6 +400,54 @@ def test_sketch_estimates_containment(spark):
     assert got[0] == got[1] == 1 and abs(got[2] - 0.5) < 0.12 and got[3:] == [0, 1]
 
 
+def test_merged_sketch_is_that_of_the_union(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    pairs = [([word() for _ in range(n)], [word() for _ in range(m)]) for n, m in [(5, 40), (5, 5), (7, 6), (0, 5), (3, 4), (40, 60), (6, 200)] * 8]
+    df = spark.createDataFrame([(i, " ".join(a), " ".join(b)) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    x = fingerprint.with_sketch(fingerprint.with_sketch(df, "a", "sa"), "b", "sb").withColumn("ab", fingerprint.merged(F.col("sa"), F.col("sb")))
+    # all hashes of a text: its sketch when every hash is kept
+    x = fingerprint.with_sketch(fingerprint.with_sketch(x, "a", "ha", fraction=0.4999), "b", "hb", fraction=0.4999)
+    limit = -(2**63) + 2**61
+    for r in x.collect():
+        low = sorted({h for h in [*r.sa, *r.sb] if h < limit})
+        assert r.ab == (low or sorted([*r.sa, *r.sb])[:1])
+        assert {h for h in [*r.ha, *r.hb] if h < limit} == set(low)
+
+
+def test_fingerprint_query(spark):
+    """Sketches, edits and likenesses of the query against sets of shingle hashes."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    texts = [d.text or "" for d in docs]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, texts[1:] + texts[:1], strict=True)]
+    words = {t: [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w] for t in {*texts, *edited}}
+    hash_ = lambda b, seed=42: (xxhash.xxh64_intdigest(b, seed) + 2**63) % 2**64 - 2**63
+
+    def sketch(t):
+        h = [hash_(w.encode()) for w in words[t]]
+        def chained(part):  # as Spark's function of several columns: each value's hash is the next one's seed
+            seed = 42
+            for x in part:
+                seed = xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), seed)
+            return (seed + 2**63) % 2**64 - 2**63
+        all_ = {chained(h[i : i + 5]) for i in range(len(h) - 4)} if len(h) >= 5 else {hash_many(words[t])} if h else set()
+        low = {x for x in all_ if x < -(2**63) + 2**61}
+        return sorted(low or sorted(all_)[:1])
+
+    def hash_many(ws):  # an array of hashes is hashed the same way
+        seed = 42
+        for w in ws:
+            seed = xxhash.xxh64_intdigest(hash_(w.encode()).to_bytes(8, "little", signed=True), seed)
+        return (seed + 2**63) % 2**64 - 2**63
+
+    shown = lambda s: "".join(f"{x % 2**64:016X}" for x in s)
+    near = lambda a, b: 1.0 if not a and not b else 0.0 if not a or not b else len({*a} & {*b}) / min(len(a), len(b))
+    of = {t: sketch(t) for t in words}
+    got = {r.doc_id: r for r in fingerprint.op7_fingerprint(spark, SF).collect()}
+    for d, t, e, n in zip(docs, texts, edited, texts[1:] + texts[:1], strict=True):
+        assert tuple(got[d.doc_id]) == (d.doc_id, len(t), hashlib.sha256(e.encode()).hexdigest(), shown(of[t]), shown(of[e]), near(of[t], of[e]), near(of[t], of[n]))
+
+
 def test_next_ids(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", 40)
     ids = sorted(random.Random(3).sample(range(-(10**12), 10**12), 1000))
@@ -299,6 +479,25 @@ def test_bpe(spark, docs, rows, empty, monkeypatch):
     assert bpe.tokenize(empty, ranks, tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_long_word(spark, monkeypatch):
+    tiktoken, tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    ranks = bpe.load_ranks(tokenizers.path(bpe.FILE))
+    enc = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in (("etaoinsh", 3000), ("ab", 1000), ("x", 2500), ("éa日", 400), ("=", 900))]
+    got = bpe.tokenize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ranks, tokenizers.PATTERN, keep_ids=True).collect()
+    assert {r.doc_id: list(r.ids) for r in got} == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_bpe_query(spark):
+    tiktoken, tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    enc = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(tokenizers.path(bpe.FILE)), special_tokens={})
+    got = {r.doc_id: r for r in bpe.op9_bpe(spark, SF).collect()}
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = enc.encode_ordinary(d.text or "")
+        assert tuple(got[d.doc_id]) == (d.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((d.text or "").encode()).hexdigest())
+
+
 # quality ------------------------------------------------------------------------
 
 
@@ -330,6 +529,43 @@ def test_quality_columns(spark, docs, rows, empty):
     assert quality.classify_documents(empty, labels).count() == 0
 
 
+def test_quality_any_column_names(spark):
+    odd = "doc_id long, text string, `__good` string, `__host` string, c0 string, source string, lang string, p_good string"
+    docs = durable(spark.createDataFrame([(i, f"word{i} and more", "g", "h", "c", "s", "l", "p") for i in range(5)], odd))
+    labels = durable(spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int"))
+    got = quality.classify_documents(docs, labels)
+    assert got.columns == ["doc_id", "text", "__good", "__host", "c0", "source", "lang", "p_good", "p_toxic", "keep"]
+    assert {(r["__good"], r["__host"], r.c0) for r in got.collect()} == {("g", "h", "c")}
+
+
+def test_quality_query(spark):
+    """Posteriors of the query from the model's log-odds and shrinkage written out."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model, rows = quality.fit(docs, labels), docs.collect()
+    logit = dict(zip(("good", "toxic"), model.logits([r.text or "" for r in rows], {}), strict=True))
+    host = [r.source for r in rows]
+    path = ["/".join(x for x in (r.source, r.lang) if x is not None) for r in rows]
+    got = {r.doc_id: r for r in quality.op8_quality(spark, SF).collect()}
+    want = {}
+    for h, z in logit.items():
+        p = 1 / (1 + np.exp(-z))
+        mean = p.mean()
+        sums = lambda keys: {k: (sum(1 for x in keys if x == k), float(p[[x == k for x in keys]].sum())) for k in set(keys)}  # noqa: B023,E731
+        by_host, by_path = sums(host), sums(list(zip(host, path, strict=True)))
+        n, n2 = len(p), lambda d: float(sum(c * c for c, _ in d.values()))
+        kh = quality._strength(n, n2(by_host), sum(c * (s / c - mean) ** 2 for c, s in by_host.values()), len(by_host), mean)
+        kp = quality._strength(n, n2(by_path), sum(c * (s / c - by_host[k[0]][1] / by_host[k[0]][0]) ** 2 for k, (c, s) in by_path.items()), len(by_path) - len(by_host) + 1, mean)
+        for r, z1, a, b in zip(rows, z, host, path, strict=True):
+            at_host = (by_host[a][1] + kh * mean) / (by_host[a][0] + kh)
+            c, s = by_path[a, b]
+            site = min(max((s + kp * at_host) / (c + kp), 1e-6), 1 - 1e-6)
+            want.setdefault(r.doc_id, {})[h] = 1 / (1 + np.exp(-(z1 + np.log(site / (1 - site)) - np.log(mean / (1 - mean)))))
+    for r in rows:
+        x, y = got[r.doc_id], want[r.doc_id]
+        assert abs(x.p_good - y["good"]) < 1e-6 and abs(x.p_toxic - y["toxic"]) < 1e-6
+        assert x.keep == (x.p_good >= 0.5 and x.p_toxic < 0.5)
+
+
 def test_quality_sample_is_of_documents(spark, monkeypatch):
     """Labels of no document take no place in the sample, and long texts are in it."""
     monkeypatch.setattr(quality, "Model", lambda texts, good, toxic: (texts, good.tolist(), toxic.tolist()))
@@ -373,3 +609,24 @@ def test_pipeline(spark):
     labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     assert not [i for i in ids if i in labels and not labels[i].quality]
     assert all(r.n_chars == len(r.text) for r in kept.collect())
+
+
+def test_pipeline_odd_rows(spark):
+    import corpus_pipeline as p
+
+    long, near = " ".join(f"word{i}" for i in range(3000)), " ".join(f"other{i}" for i in range(200))
+    texts = [None, "", long, long, near, near + " end", f"{' '.join(f'x{i}' for i in range(30))} {' '.join(f'word{i}' for i in range(40))}", None]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `was_null` string, `c1` string, kept string, `__g` string"
+    rows = [(None if i == 7 else i, t, None if i % 2 else "en", None, len(t or ""), "a", "b", "c", "d") for i, t in enumerate(texts)] + [(2, long, "en", None, len(long), "a", "b", "c", "d")]
+    docs = durable(spark.createDataFrame(rows, schema))
+    kept = durable(p.near_duplicates(spark, docs, SF))
+    assert kept.columns == docs.columns and {(r.doc_id, r.text) for r in kept.collect()} == {(None, None), (2, long), (4, near), (6, texts[6])}
+    cut = durable(p.repeated_passages(spark, kept, SF))
+    got = {r.doc_id: r for r in cut.collect()}
+    assert cut.columns == docs.columns and got[None].text is None and got[2].text == long and got[6].text.split() == texts[6].split()[:30]
+    assert got[6].n_chars == len(got[6].text) and (got[2].was_null, got[2].c1, got[2].kept, got[2]["__g"]) == ("a", "b", "c", "d")
+    assert p.packing(spark, cut, SF).count() == 4
+    none = docs.limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, none, SF).count() == 0
+    assert p.quality(spark, docs, SF).columns == docs.columns
