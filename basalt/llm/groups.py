@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text in a group; a group is held in one Python worker's memory.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 12 << 20
 #: Below this, more groups only add overhead.
 LEAST_GROUP_BYTES = 2 << 20
 #: Parts of the hash space that a group, or merged groups, send to.

@@ -48,7 +48,9 @@ SEED = 32
 #: Windows whose temporary arrays exist at a time.
 STEP = 1 << 20
 INDEX_BITS = 52
-HOT_SEGMENTS = 20_000
+HOT_SEGMENTS = 5_000
+#: Answers that are read at a time.
+REPLIES = 20_000
 #: Bytes of text for each part of the hash space, and for each task that compares segments.
 PARTITION_BYTES = 64 << 20
 COMPARE_BYTES = 4 << 20
@@ -347,14 +349,17 @@ def _cut(window: int, kind: _Buckets, names: list[str]):
         later = np.ones(int(count.sum()), bool)  # of equal segments all but the first go
         said = reply.filter(pc.equal(reply.column("__kind"), 1)).combine_chunks()
         if said.num_rows:
-            at = said.column("__p").to_numpy()
-            bits = np.unpackbits(np.frombuffer(b"".join(said.column("__blob").to_pylist()), np.uint8)).astype(bool)
-            n, bytes_ = count[at], (count[at] + 7) // 8
-            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            later[inside + np.repeat(begin[at], n)] = bits[inside + np.repeat(8 * (np.cumsum(bytes_) - bytes_), n)]
-        windows = np.arange(len(later)) + np.repeat(first - begin, count)
+            for k in range(0, said.num_rows, REPLIES):
+                part = said.slice(k, REPLIES)
+                at = part.column("__p").to_numpy()
+                bits = np.unpackbits(np.frombuffer(b"".join(part.column("__blob").to_pylist()), np.uint8)).view(bool)
+                n, bytes_ = count[at], (count[at] + 7) // 8
+                inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                later[inside + np.repeat(begin[at], n)] = bits[inside + np.repeat(8 * (np.cumsum(bytes_) - bytes_), n)]
+        at = np.flatnonzero(later)
+        windows = at + (first - begin)[np.searchsorted(begin, at, "right") - 1] if len(at) else at
         t = x.texts
-        gone = covered(len(t.data), windows[later], window)
+        gone = covered(len(t.data), windows, window)
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
         edge |= gone & _at(t.offsets[:-1], len(gone))
