@@ -48,12 +48,12 @@ SEED = 32
 #: Windows whose temporary arrays exist at a time.
 STEP = 1 << 20
 INDEX_BITS = 52
-HOT_SEGMENTS = 5_000
+HOT_SEGMENTS = 20_000
 #: Answers that are read at a time.
 REPLIES = 20_000
 #: Bytes of text for each part of the hash space, and for each task that compares segments.
 PARTITION_BYTES = 64 << 20
-COMPARE_BYTES = 4 << 20
+COMPARE_BYTES = 2 << 20
 #: Bytes that are indexed together, buckets whole.
 INDEX_BYTES = 1 << 20
 
