@@ -27,6 +27,7 @@ the result, and clash with no internal one.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -75,9 +76,10 @@ def sliding_min(h: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (size - k)], h[size - k :]) if size > k else h
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, window: int, seed: int):
+def segments(data: np.ndarray, offsets: np.ndarray, window: int, seed: int, inside: bool = True):
     """Runs of windows with one minimizer: first window, number of windows,
-    bucket, and if the minimizing string occurs more than once in the run."""
+    bucket, and with ``inside``, if the minimizing string occurs more than once
+    in the run."""
     seeds = window - seed + 1
     firsts, counts, buckets, inner = [], [], [], []
     for s in range(0, len(data) - window + 1, STEP):
@@ -101,13 +103,17 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int, seed: int):
         firsts.append(a + s)
         counts.append(b - a)
         buckets.append(low[a] >> np.uint64(64 - INDEX_BITS))
-        # count the minimizing string in a run by prefix sums of each run's stretch
+        # a position is a minimum if its hash is the least of a window that holds it;
+        # a run whose stretch has two minima with its value holds that string twice
         twice = np.zeros(len(a), bool)
-        for i in range(0, len(a), 20_000):
-            x, size, v = a[i : i + 20_000], (b - a)[i : i + 20_000] + seeds - 1, low[a[i : i + 20_000]]
-            at = np.cumsum(size) - size
-            flat = np.arange(int(size.sum())) + np.repeat(x - at, size)
-            twice[i : i + 20_000] = np.add.reduceat((h[flat] == np.repeat(v, size)).view(np.int8), at, dtype=np.int32) > 1
+        if inside and len(a):
+            edge_ = np.zeros(seeds - 1, np.uint64)
+            at = np.flatnonzero(~sliding_min(~np.concatenate([edge_, low, edge_]), seeds) == h)
+            x, y = np.searchsorted(at, a), np.searchsorted(at, b + seeds - 1)
+            held = y - x
+            begin = np.cumsum(held) - held
+            flat = np.arange(int(held.sum())) + np.repeat(x - begin, held)
+            twice = np.add.reduceat((h[at[flat]] == np.repeat(low[a], held)).view(np.int8), begin, dtype=np.int32) > 1
         inner.append(twice)
     if not firsts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
@@ -115,11 +121,11 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int, seed: int):
 
 
 class _Group:
-    def __init__(self, table: pa.Table, window: int):
+    def __init__(self, table: pa.Table, window: int, inside: bool = True):
         self.table = g_.ordered(table)
         self.texts, self.hash = Texts(self.table), self.table.column(HASH).to_numpy()
         self.window = window
-        self.first, self.count, self.bucket, self.inner = segments(self.texts.data, self.texts.offsets, window, SEED)
+        self.first, self.count, self.bucket, self.inner = segments(self.texts.data, self.texts.offsets, window, SEED, inside)
         self.buckets, self.place = np.unique(self.bucket, return_inverse=True)
 
     def sent(self, reply: pa.Table, kind: _Buckets):
@@ -308,10 +314,11 @@ def _compare(window: int):
         inner = table.column("inner").to_numpy()
         # the earliest of each content stays; the rest is repeated as a whole
         seen: dict[tuple, int] = {}
+        of = bucket.tolist()
         for i in np.lexsort((starts, rows, hashes, ids)).tolist():
-            seen.setdefault((bucket[i], segs[i]), i)
+            seen.setdefault((of[i], segs[i]), i)
         lead = np.array(sorted(seen.values()))
-        flags: list[np.ndarray | None] = [None] * len(segs)
+        flags: list[np.ndarray | bool] = [True] * len(segs)  # one value for all windows, or one for each
         lead = lead[np.argsort(bucket[lead], kind="stable")]
         edge = np.flatnonzero(np.concatenate([[True], bucket[lead][1:] != bucket[lead][:-1]]))
         batch: list[int] = []
@@ -325,7 +332,7 @@ def _compare(window: int):
         for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(lead)], strict=True):
             of_bucket = lead[a:b].tolist()
             if len(of_bucket) == 1 and not inner[of_bucket[0]]:
-                flags[of_bucket[0]] = np.zeros(count[of_bucket[0]], bool)
+                flags[of_bucket[0]] = False
                 continue
             batch += of_bucket
             size += sum(len(segs[i]) for i in of_bucket)
@@ -333,7 +340,8 @@ def _compare(window: int):
                 flag(batch)
                 batch, size = [], 0
         flag(batch)
-        blobs = [g_.pack_bits(np.ones(n, bool) if f is None else f) for n, f in zip(count.tolist(), flags, strict=True)]
+        same = functools.cache(lambda n, value: g_.pack_bits(np.full(n, value)))
+        blobs = [same(n, f) if isinstance(f, bool) else g_.pack_bits(f) for n, f in zip(count.tolist(), flags, strict=True)]
         return pa.table({"__g": table.column("__g"), "__p": table.column("__i"), "__kind": pa.array(np.ones(len(blobs), np.int32)), "__blob": pa.array(blobs, pa.binary())})
 
     return answer
@@ -343,7 +351,7 @@ def _cut(window: int, kind: _Buckets, names: list[str]):
     def cut(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({n: [] for n in names})
-        x = _Group(table, window)
+        x = _Group(table, window, inside=False)
         first, count, _, _, same = x.sent(reply, kind)
         begin = np.cumsum(count) - count
         later = np.ones(int(count.sum()), bool)  # of equal segments all but the first go
@@ -363,8 +371,9 @@ def _cut(window: int, kind: _Buckets, names: list[str]):
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
         edge |= gone & _at(t.offsets[:-1], len(gone))
-        kept = [t.data[a:b][~gone[a:b]].tobytes() for a, b in zip(t.offsets[:-1].tolist(), t.offsets[1:].tolist(), strict=True)]
-        out = {ID: x.table.column(ID), "n_bytes": pa.array(np.diff(t.offsets), pa.int64()), "n_removed": pa.array(counted(gone, t.offsets), pa.int64()), "n_spans": pa.array(counted(edge, t.offsets), pa.int64()), "kept": pa.array(kept, pa.binary())}
+        n_gone = counted(gone, t.offsets)
+        kept = [(t.data[a:b][~gone[a:b]] if n else t.data[a:b]).tobytes() for a, b, n in zip(t.offsets[:-1].tolist(), t.offsets[1:].tolist(), n_gone.tolist(), strict=True)]
+        out = {ID: x.table.column(ID), "n_bytes": pa.array(np.diff(t.offsets), pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "n_spans": pa.array(counted(edge, t.offsets), pa.int64()), "kept": pa.array(kept, pa.binary())}
         return pa.table(out | {n: x.table.column(n) for n in names if n.startswith("__k")}).select(names)
 
     return cut
