@@ -54,7 +54,7 @@ HOT_SEGMENTS = 20_000
 REPLIES = 20_000
 #: Bytes of text for each part of the hash space, and for each task that compares segments.
 PARTITION_BYTES = 64 << 20
-COMPARE_BYTES = 2 << 20
+COMPARE_BYTES = 1 << 20
 #: Bytes that are indexed together, buckets whole.
 INDEX_BYTES = 1 << 20
 
