@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "UNKNOWN"
 #: Substrings of sentences that may be about licensing (lower case).
-TRIGGERS = ("licens", "licenc", "copyright", "permission", "redistribut", "warrant", "public domain", "liable", "rights reserved", "endorse", "provided", "origin of this software", "copies of the work", "do what the")
+TRIGGERS = ("licens", "licenc", "copyright", "permission", "redistribut", "warrant", "public domain", "liable", "rights reserved", "endorse")
+#: Substrings of known sentences that have none of these; alone they make no sentence one about licensing.
+ALSO = ("origin of this software", "copies of the work", "do what the")
 #: Known sentences as patterns over normalised text.
 SENTENCES: list[tuple[str, str]] = [
     ("spdx", r"spdx license identifier (?P<name>[a-z0-9.+ ]+)"),
@@ -181,7 +183,7 @@ def recognised(text: str) -> list[tuple[str, str]]:
     of a sentence's lines is tried together, for sentences that are wrapped.
     """
     low = text.lower()
-    if not any(t in low for t in TRIGGERS):
+    if not any(t in low for t in (*TRIGGERS, *ALSO)):
         return []
     out = []
     text = _SPDX.sub(r"\n\n\1\n\n", _COMMENT.sub("", text))
@@ -191,7 +193,8 @@ def recognised(text: str) -> list[tuple[str, str]]:
         part = text[at : m.start() if m else len(text)]
         at = m.end() if m else len(text)
         low = part.lower()
-        if not any(t in low for t in TRIGGERS):
+        about = any(t in low for t in TRIGGERS)
+        if not about and not any(t in low for t in ALSO):
             continue
         lines = [x for x in map(normalised, part.split("\n")) if x]
         whole = sentence_id(" ".join(lines))
@@ -200,7 +203,7 @@ def recognised(text: str) -> list[tuple[str, str]]:
             out.append(whole)
             continue
         found = wrapped(lines)
-        out += found or [(UNKNOWN, "")]
+        out += found or ([(UNKNOWN, "")] if about else [])
     return out
 
 

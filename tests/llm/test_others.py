@@ -205,6 +205,11 @@ def test_license_full_texts():
         assert licenses.matched(licenses.recognised("\n".join(f" * {x}" for x in text.split("\n")))) == [name]
 
 
+def test_prose_is_not_about_licensing():
+    for text in ("Lunch is provided.", "They did what the others do.", "Both copies of the work were lost.", "The origin of this software is a mystery."):
+        assert licenses.recognised(text) == []
+
+
 def test_license_rules_are_contiguous():
     ids = lambda *k: [(x, "") for x in k]
     assert licenses.matched(ids("mit-grant", "notice", licenses.UNKNOWN, "mit-notice", "mit-warranty", "mit-liability")) == ["MIT"]
