@@ -1,17 +1,23 @@
 """Document fingerprints by a threshold-scaled sketch, in DataFrame functions only.
 
-A document's fingerprint is the sorted set of the hashes of its five-word
-shingles that lie below a fixed share ``FRACTION`` of the hash range. The
-threshold does not depend on the document, so sketches of parts merge by
-union, and the share of one sketch found in another estimates containment
-however unequal the documents are.
+A document's sketch is the sorted set of the hashes of its five-word shingles
+that lie below a fixed share ``FRACTION`` of the hash range. The threshold does
+not depend on the document, so sketches merge by union, and the share of one
+sketch found in another estimates containment however unequal the documents
+are. A set of at most ``WHOLE`` shingles is kept whole and marked so: two such
+sketches are compared exactly, and where only one is whole its hashes below the
+threshold are what the other is compared with. Whether a sketch is whole
+depends on the set alone, so the union of two sketches is the sketch of the
+union, whole or not.
 
 Defined cases: a null text is empty; an empty table gives no rows; a text of any
 length is taken whole; other columns are not read, so none can clash; a text of
-fewer than five words is one shingle; the least hash is always kept, so that only a text without words has
-an empty fingerprint; two empty fingerprints have likeness 1, an empty and
-another 0; a null id sorts first; rows that share an id are one place in the
-order of documents, and the one with the least text hash stands for it.
+fewer than five words is one shingle; only a text without words has an empty
+fingerprint (but for a chance of (3/4)^65); equal fingerprints have likeness 1,
+an empty and another 0; so has a whole sketch without a hash below the
+threshold against one that is not whole, which does not hold what could tell; a
+null id sorts first; rows that share an id are one place in the order of
+documents, and the one with the least text hash stands for it.
 """
 
 from __future__ import annotations
@@ -22,7 +28,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-FRACTION = 1 / 8
+FRACTION = 1 / 4
+#: Shingles of a set that is kept whole, at most.
+WHOLE = 64
 #: Words are what lies between these characters.
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Ranges of ids that are ordered apart; at most this many.
@@ -32,41 +40,49 @@ _NULL_ID = -(2**63)
 
 
 def with_sketch(df: DataFrame, text_col: str, out: str, fraction: float = FRACTION, shingle: int = SHINGLE) -> DataFrame:
-    """``df`` with ``out``, the sorted distinct hashes of the text's sketch."""
-    limit = _limit(fraction)
+    """``df`` with ``out``, the text's sketch: if it is ``whole``, and its sorted ``hashes``."""
     w, h = f"{out}__w", f"{out}__h"
     df = df.withColumn(w, F.transform(F.filter(F.split(F.col(text_col), _SPACE), lambda x: x != ""), lambda x: F.xxhash64(x)))
     n = F.size(w)
     at = lambda i, k: F.get(F.col(w), i + k)
     rolling = F.transform(F.sequence(F.lit(0), n - shingle), lambda i: F.xxhash64(*[at(i, k) for k in range(shingle)]))
-    df = df.withColumn(h, F.when(n >= shingle, rolling).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")))
-    return df.withColumn(out, F.sort_array(F.array_distinct(_kept(F.col(h), limit)))).drop(w, h)
+    some = F.when(n >= shingle, rolling).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+    df = df.withColumn(h, F.array_distinct(some))
+    return df.withColumn(out, _sketch(F.col(h), F.lit(True), fraction)).drop(w, h)
 
 
-def _kept(h: Column, limit: int) -> Column:
-    """The hashes below the limit, or where there is none the least."""
-    low = F.filter(h, lambda x: x < F.lit(limit))
-    return F.when(F.size(h) == 0, h).when(F.array_min(h) >= F.lit(limit), F.array(F.array_min(h))).otherwise(low)
+def _sketch(distinct: Column, all_: Column, fraction: float) -> Column:
+    """The sketch of distinct hashes, which are ``all_`` of their set or hold those below the threshold."""
+    whole = all_ & (F.size(distinct) <= WHOLE)
+    return F.struct(whole.alias("whole"), F.sort_array(F.when(whole, distinct).otherwise(_low(distinct, fraction))).alias("hashes"))
+
+
+def _low(hashes: Column, fraction: float) -> Column:
+    limit = F.lit(-(2**63) + int(2**64 * fraction))
+    return F.filter(hashes, lambda x: x < limit)
 
 
 def merged(a: Column, b: Column, fraction: float = FRACTION) -> Column:
-    """The sketch of all shingles of two documents, from their sketches: a least
-    hash that one had to keep goes where the other has hashes below the limit."""
-    return F.sort_array(_kept(F.array_union(a, b), _limit(fraction)))
+    """The sketch of all shingles of two documents, from their sketches."""
+    return _sketch(F.array_union(a["hashes"], b["hashes"]), a["whole"] & b["whole"], fraction)
 
 
-def _limit(fraction: float) -> int:
-    return -(2**63) + int(2**64 * fraction)
+def likeness(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Containment of the smaller document in the larger: exact between whole
+    sketches, else estimated from the hashes below the threshold."""
 
+    def share(x: Column, y: Column) -> Column:
+        least = F.least(F.size(x), F.size(y))
+        return F.when(least == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / least)
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated containment of the smaller document in the larger."""
-    least = F.least(F.size(a), F.size(b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / least)
+    p, q = a["hashes"], b["hashes"]
+    return F.when(a == b, 1.0).when(a["whole"] & b["whole"], share(p, q)).otherwise(share(_low(p, fraction), _low(q, fraction)))
 
 
 def shown(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    """The hashes in hexadecimal, behind ``=`` if they are a whole set's."""
+    hashes = F.array_join(F.transform(sketch["hashes"], lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    return F.concat(F.when(sketch["whole"] & (F.size(sketch["hashes"]) > 0), "=").otherwise(""), hashes)
 
 
 def next_ids(ids: DataFrame, id_col: str) -> DataFrame:
@@ -101,11 +117,14 @@ def next_ids(ids: DataFrame, id_col: str) -> DataFrame:
     return ids.join(F.broadcast(firsts), "__range").withColumn("next_id", F.coalesce("__lead", "__after")).drop("__range", "__lead", "__first", "__after")
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("__id"), text.alias("text"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document with its text's sketch: ``__id, text, sketch``."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("__id"), text.alias("text"))
-    return with_sketch(base, "text", "sketch")
+    return with_sketch(_rows(docs, id_col, text_col), "text", "sketch")
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,15 +132,16 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the start of the next document's, and the sketches of all three.
 
     Columns: ``__id, text, n_chars, sketch, edited, edited_sketch, next_sketch``.
-    Texts are exchanged once by id, and half of each once more to the document
-    before it; nothing is sorted globally.
+    Texts are exchanged once by id, and half of each once more, with its sketch,
+    to the document before it; nothing is sorted globally. A text's own sketch
+    is made again behind the exchange, which is cheaper than to send it.
     """
-    rows = fingerprints(docs, id_col, text_col)  # the same columns on both sides below, so that one exchange serves both
+    rows = _rows(docs, id_col, text_col)  # the same columns on both sides below, so that one exchange serves both
     raw = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("__id"), F.coalesce(F.length(F.col(f"`{text_col}`")), F.lit(0)).alias("n"))
     ids = next_ids(raw.groupBy("__id").agg(F.floor(F.max("n") / 2).cast("int").alias("half")), "__id")
     before = ids.select(F.col("next_id").alias("__id"), F.col("__id").alias("before_id"), F.col("half").alias("before_half"))
     halves = (
-        rows.join(before, "__id")
+        with_sketch(rows.join(before, "__id"), "text", "sketch")
         .select(F.col("before_id").alias("__id"), F.struct(F.xxhash64("text").alias("h"), F.substring(F.col("text"), F.lit(1), F.col("before_half")).alias("start"), F.col("sketch")).alias("v"))
         .groupBy("__id").agg(F.min("v").alias("v"))
     )
@@ -129,8 +149,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("v.start"), F.lit(1), half))
-    both = both.select("__id", "text", n.cast("long").alias("n_chars"), "sketch", edited.alias("edited"), F.col("v.sketch").alias("next_sketch"))
-    return with_sketch(both, "edited", "edited_sketch")
+    both = both.select("__id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), F.col("v.sketch").alias("next_sketch"))
+    return with_sketch(with_sketch(both, "text", "sketch"), "edited", "edited_sketch")
 
 
 def op7_fingerprint(spark, sf_dir: str) -> DataFrame:

@@ -380,8 +380,8 @@ def test_fingerprints(docs, rows, empty):
     assert Counter((r["__id"], r.text) for r in got) == Counter((-(2**63) if r[0] is None else r[0], r[1] or "") for r in rows)
     by_text = defaultdict(set)
     for r in got:
-        by_text[r.text].add(tuple(r.sketch))
-        assert bool(r.sketch) == bool(r.text.encode().split()) and r.sketch == sorted(set(r.sketch))
+        by_text[r.text].add((r.sketch.whole, *r.sketch.hashes))
+        assert bool(r.sketch.hashes) == bool(r.text.encode().split()) and r.sketch.hashes == sorted(set(r.sketch.hashes))
     assert all(len(s) == 1 for s in by_text.values())
     first = {}
     for r in got:
@@ -400,7 +400,7 @@ def test_sketch_estimates_containment(spark):
     words = [f"w{rng.randrange(10**6)}" for _ in range(6000)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:1500])), (3, " ".join(words[:1000] + [f"z{i}" for i in range(1000)])), (4, "")], "i int, t string")
     s = {r.i: r.s for r in fingerprint.with_sketch(df, "t", "s").collect()}
-    pair = spark.createDataFrame([(s[a], s[b]) for a, b in ((1, 1), (1, 2), (1, 3), (1, 4), (4, 4))], "a array<long>, b array<long>")
+    pair = spark.createDataFrame([(s[a], s[b]) for a, b in ((1, 1), (1, 2), (1, 3), (1, 4), (4, 4))], "a struct<whole:boolean,hashes:array<long>>, b struct<whole:boolean,hashes:array<long>>")
     got = [r.x for r in pair.select(fingerprint.likeness(F.col("a"), F.col("b")).alias("x")).collect()]
     assert got[0] == got[1] == 1 and abs(got[2] - 0.5) < 0.12 and got[3:] == [0, 1]
 
@@ -408,16 +408,26 @@ def test_sketch_estimates_containment(spark):
 def test_merged_sketch_is_that_of_the_union(spark):
     rng = random.Random(9)
     word = lambda: f"w{rng.randrange(10**6)}"
-    pairs = [([word() for _ in range(n)], [word() for _ in range(m)]) for n, m in [(5, 40), (5, 5), (7, 6), (0, 5), (3, 4), (40, 60), (6, 200)] * 8]
+    sizes = [(5, 40), (5, 5), (7, 6), (0, 5), (3, 4), (40, 60), (6, 200), (68, 0), (68, 5), (68, 68), (69, 5), (300, 400)]
+    pairs = [([word() for _ in range(n)], [word() for _ in range(m)]) for n, m in sizes * 8]
+    pairs += [(a, a[: len(a) // 2]) for a, _ in pairs] + [(a, a) for a, _ in pairs]
     df = spark.createDataFrame([(i, " ".join(a), " ".join(b)) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
     x = fingerprint.with_sketch(fingerprint.with_sketch(df, "a", "sa"), "b", "sb").withColumn("ab", fingerprint.merged(F.col("sa"), F.col("sb")))
+    x = x.withColumn("near", fingerprint.likeness(F.col("sa"), F.col("sb"))).withColumn("back", fingerprint.likeness(F.col("sb"), F.col("sa")))
     # all hashes of a text: its sketch when every hash is kept
     x = fingerprint.with_sketch(fingerprint.with_sketch(x, "a", "ha", fraction=0.4999), "b", "hb", fraction=0.4999)
-    limit = -(2**63) + 2**61
+    limit = -(2**63) + 2**62
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(max(len(t) - 4, 1))} if t else set()
     for r in x.collect():
-        low = sorted({h for h in [*r.sa, *r.sb] if h < limit})
-        assert r.ab == (low or sorted([*r.sa, *r.sb])[:1])
-        assert {h for h in [*r.ha, *r.hb] if h < limit} == set(low)
+        a, b = map(shingles, pairs[r.i])
+        low = sorted({h for h in [*r.ha.hashes, *r.hb.hashes] if h < limit})
+        assert r.ab.whole == (len(a | b) <= fingerprint.WHOLE)
+        assert len(r.ab.hashes) == len(a | b) if r.ab.whole else r.ab.hashes == low
+        assert {h for h in r.ab.hashes if h < limit} == set(low) and r.ab.hashes == sorted(r.ab.hashes)
+        assert r.near == r.back and 0 <= r.near <= 1
+        if r.sa.whole and r.sb.whole:  # exact, also where no hash is below the threshold
+            least = min(len(a), len(b))
+            assert r.near == (1 if a == b else len(a & b) / least if least else 0)
 
 
 def test_fingerprint_query(spark):
@@ -436,8 +446,8 @@ def test_fingerprint_query(spark):
                 seed = xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), seed)
             return (seed + 2**63) % 2**64 - 2**63
         all_ = {chained(h[i : i + 5]) for i in range(len(h) - 4)} if len(h) >= 5 else {hash_many(words[t])} if h else set()
-        low = {x for x in all_ if x < -(2**63) + 2**61}
-        return sorted(low or sorted(all_)[:1])
+        low = {x for x in all_ if x < -(2**63) + 2**62}
+        return all_, low if len(all_) > 64 else all_
 
     def hash_many(ws):  # an array of hashes is hashed the same way
         seed = 42
@@ -445,8 +455,15 @@ def test_fingerprint_query(spark):
             seed = xxhash.xxh64_intdigest(hash_(w.encode()).to_bytes(8, "little", signed=True), seed)
         return (seed + 2**63) % 2**64 - 2**63
 
-    shown = lambda s: "".join(f"{x % 2**64:016X}" for x in s)
-    near = lambda a, b: 1.0 if not a and not b else 0.0 if not a or not b else len({*a} & {*b}) / min(len(a), len(b))
+    def shown(s):
+        return ("=" if s[0] and len(s[0]) <= 64 else "") + "".join(f"{x % 2**64:016X}" for x in sorted(s[1]))
+
+    def near(a, b):
+        if a == b:
+            return 1.0
+        p, q = (a[0], b[0]) if max(len(a[0]), len(b[0])) <= 64 else ({x for x in s[0] if x < -(2**63) + 2**62} for s in (a, b))
+        return len(p & q) / min(len(p), len(q)) if p and q else 0.0
+
     of = {t: sketch(t) for t in words}
     got = {r.doc_id: r for r in fingerprint.op7_fingerprint(spark, SF).collect()}
     for d, t, e, n in zip(docs, texts, edited, texts[1:] + texts[:1], strict=True):
