@@ -4,8 +4,9 @@
 ``FRAME`` bytes, codec ``raw ``) in an ISO base media file. :func:`probe` walks
 the nested boxes of such a file, decodes its sample tables, and gives codec,
 time scale, duration, and the byte ranges of keyframes; the payload itself is
-only read by :func:`sample_bytes`, through those tables. Fragmented files are
-not covered: their boxes are walked, but samples in ``moof`` are not decoded.
+only read by :func:`sample_bytes`, through those tables. Samples of movie
+fragments (``moof``) follow those of the tables, by the defaults of ``trex`` and
+``tfhd`` and the runs of ``trun``.
 
 Defined cases: a null payload is empty and stored as one frame of padding; an
 empty table gives no rows; equal payloads, repeated rows among them, give equal
@@ -15,7 +16,10 @@ the name of a result is replaced by it. A file without a movie box, or with a
 box that overruns its parent, has no tracks; boxes nested deeper than ``DEPTH``
 are not entered; a track without a sync-sample box has only keyframes, as the
 format says (that of raw frames is one); a table that is cut short ends where
-its bytes end; chunks of no samples have none.
+its bytes end; chunks of no samples have none; an unknown duration is that of
+the samples. A fragment run ends where its next sample would leave the file,
+and samples of fragments are no more than the file has bytes; a fragment of a
+track that the movie box does not have is passed over.
 """
 
 from __future__ import annotations
@@ -41,6 +45,12 @@ TIME_SCALE, FRAME_TIME = 24_000, 1_000
 CHUNK = 24
 #: Boxes inside boxes up to which files are walked; the format needs some ten.
 DEPTH = 64
+#: Flag and form of the optional fields of a track fragment's header, in order.
+TFHD_FIELDS = ((0x1, ">Q"), (0x2, ">I"), (0x8, ">I"), (0x10, ">I"), (0x20, ">I"))
+#: Flags of the fields of a run's samples, in order: duration, size, flags, composition offset.
+TRUN_FIELDS = (0x100, 0x200, 0x400, 0x800)
+#: Of a fragment whose data count from its ``moof``, and of a sample that is no keyframe.
+BASE_IS_MOOF, NOT_SYNC = 0x20000, 0x10000
 #: Boxes that hold other boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
 _MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -97,8 +107,8 @@ def mux(payload: bytes) -> bytes:
     return b"".join((ftyp, header, data, _box(b"moov", mvhd, _box(b"trak", tkhd, mdia))))
 
 
-def boxes(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, start of body, end of body) of every box, depth first."""
+def boxes(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+    """(path, start, start of body, end of body) of every box, depth first."""
     open_: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
     while open_:
         at, end, path = open_.pop()
@@ -115,7 +125,7 @@ def boxes(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
         if size < head or at + size > end:
             continue
         here = (*path, kind)
-        yield here, at + head, at + size
+        yield here, at, at + head, at + size
         open_.append((at + size, end, path))
         if kind in CONTAINERS and len(here) < DEPTH:
             open_.append((at + head, at + size, here))
@@ -146,6 +156,14 @@ def _entries(data: memoryview, at: int, end: int, dtype: str, width: int = 1) ->
     return np.frombuffer(data, dtype, n * width, at + 4).astype(np.int64).reshape(n, width)
 
 
+def _sampled(data: memoryview, tables: dict[bytes, tuple[int, int]]) -> int:
+    """Duration of the samples that a track's tables give."""
+    if b"stts" not in tables:
+        return 0
+    times = _entries(data, tables[b"stts"][0] + 4, tables[b"stts"][1], ">u4", 2)
+    return min(sum(n * each for n, each in times.tolist()), 2**63 - 1)
+
+
 def _track(data: memoryview, tables: dict[bytes, tuple[int, int]]) -> Track:
     t = Track()
     if b"mdhd" in tables:
@@ -153,6 +171,8 @@ def _track(data: memoryview, tables: dict[bytes, tuple[int, int]]) -> Track:
         wide = end > at and data[at] == 1
         if at + (32 if wide else 20) <= end:
             t.time_scale, t.duration = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
+            if t.duration >= (2**63 if wide else 2**32 - 1):
+                t.duration = _sampled(data, tables)
     if b"stsd" in tables and tables[b"stsd"][0] + 16 <= tables[b"stsd"][1]:
         t.codec = bytes(data[tables[b"stsd"][0] + 12 : tables[b"stsd"][0] + 16]).decode("latin-1").strip()
     if b"stsz" in tables and tables[b"stsz"][0] + 12 <= tables[b"stsz"][1]:
@@ -183,16 +203,107 @@ def _track(data: memoryview, tables: dict[bytes, tuple[int, int]]) -> Track:
     return t
 
 
+@dataclass
+class _Run:
+    """Samples of a fragment that lie one behind another."""
+
+    track: int
+    offsets: np.ndarray
+    sizes: np.ndarray
+    sync: np.ndarray
+    #: decode time of the first, if it is stated, and of all together
+    begin: int | None
+    duration: int
+
+
+def _runs(data: memoryview, parts: list[tuple[bytes, int, int, int]], defaults: dict[int, tuple[int, ...]]) -> Iterator[_Run]:
+    """The runs of all fragments, from their boxes in the order of the file."""
+    moof = base = after = held = 0
+    track = begin = None
+    normal: list[int] = [0, 0, 0]
+    for kind, start, at, end in parts:
+        if kind == b"moof":
+            moof = after = start
+        elif kind == b"traf":
+            track = begin = None
+        elif kind == b"tfhd" and at + 8 <= end:
+            flags, track = struct.unpack_from(">II", data, at)
+            given, p = {}, at + 8
+            for bit, form in TFHD_FIELDS:
+                if flags & bit and p + struct.calcsize(form) <= end:
+                    given[bit] = struct.unpack_from(form, data, p)[0]
+                    p += struct.calcsize(form)
+            # without a base, the first counts from its moof and others from the end of the data before them
+            base = after = given.get(0x1, moof if flags & BASE_IS_MOOF else after)
+            normal = [given.get(bit, d) for bit, d in zip((0x8, 0x10, 0x20), defaults.get(track, (0, 0, 0)), strict=True)]
+        elif kind == b"tfdt" and at + 4 < end:
+            form = ">Q" if data[at] else ">I"
+            begin = struct.unpack_from(form, data, at + 4)[0] if at + 4 + struct.calcsize(form) <= end else None
+        elif kind == b"trun" and track is not None and at + 8 <= end:
+            flags, n = struct.unpack_from(">II", data, at)
+            p = at + 8 + 4 * bool(flags & 0x1) + 4 * bool(flags & 0x4)
+            if p > end:
+                continue
+            if flags & 0x1:
+                after = base + struct.unpack_from(">i", data, at + 8)[0]
+            fields = [bit for bit in TRUN_FIELDS if flags & bit]
+            fits = (end - p) // (4 * len(fields)) if fields else len(data) // max(normal[1], 1)
+            n = min(n, fits, len(data) - held)
+            if n <= 0 or not 0 <= after <= len(data):
+                continue
+            table = np.frombuffer(data, ">u4", n * len(fields), p if fields else 0).astype(np.int64).reshape(n, len(fields))
+            times, sizes, marks = (table[:, fields.index(bit)] if bit in fields else np.full(n, d, np.int64) for bit, d in zip(TRUN_FIELDS, normal, strict=False))
+            if flags & 0x4:
+                marks = marks.copy()
+                marks[0] = struct.unpack_from(">I", data, p - 4)[0]
+            ends = after + np.cumsum(sizes)
+            n = int(np.searchsorted(ends, len(data), "right"))
+            held += n
+            yield _Run(track, (ends - sizes)[:n], sizes[:n], marks[:n] & NOT_SYNC == 0, begin, int(times[:n].sum()))
+            after, begin = int(ends[-1]), None
+
+
 def probe(media: bytes) -> list[Track]:
     """The tracks of a file, from its boxes alone."""
     data, tracks, tables = memoryview(media), [], None
-    for path, at, end in boxes(data):
+    parts: list[tuple[bytes, int, int, int]] = []
+    defaults: dict[int, tuple[int, ...]] = {}
+    for path, start, at, end in boxes(data):
         if path[-1] == b"trak":
             tables = {}
             tracks.append(tables)
         elif tables is not None and b"trak" in path:
             tables[path[-1]] = (at, end)
-    return [_track(data, t) for t in tracks]
+        elif path[-1] == b"trex" and at + 24 <= end:
+            track, _, *normal = struct.unpack_from(">5I", data, at + 4)
+            defaults[track] = tuple(normal)
+        elif b"moof" in path:
+            parts.append((path[-1], start, at, end))
+    found = [_track(data, t) for t in tracks]
+    if parts:
+        _append(data, found, tracks, list(_runs(data, parts, defaults)))
+    return found
+
+
+def _append(data: memoryview, found: list[Track], tracks: list[dict[bytes, tuple[int, int]]], runs: list[_Run]) -> None:
+    """Each track's samples of fragments behind those of its tables."""
+    of: dict[int, list[_Run]] = {}
+    for r in runs:
+        of.setdefault(r.track, []).append(r)
+    for t, tables in zip(found, tracks, strict=True):
+        at, end = tables.get(b"tkhd", (0, 0))
+        at_id = at + (20 if end > at and data[at] == 1 else 12)
+        mine = of.get(struct.unpack_from(">I", data, at_id)[0], []) if at_id + 4 <= end else []
+        if not mine:
+            continue
+        sync = np.concatenate([r.sync for r in mine])
+        t.keyframes = np.concatenate([t.keyframes, len(t.offsets) + np.flatnonzero(sync)])
+        t.sizes = np.concatenate([t.sizes, *[r.sizes for r in mine]])
+        t.offsets = np.concatenate([t.offsets, *[r.offsets for r in mine]])
+        now = _sampled(data, tables)
+        for r in mine:
+            now = (now if r.begin is None else r.begin) + r.duration
+        t.duration = min(max(t.duration, now), 2**63 - 1)
 
 
 def sample_bytes(media: bytes, track: Track) -> bytes:

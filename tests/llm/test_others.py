@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -81,6 +82,59 @@ def test_media_odd_boxes():
     assert media.probe(deep) == []
 
 
+def fragmented():
+    """A file of two tracks in fragments, and each track's payload, sizes, keyframes and duration."""
+    b, f = media._box, media._full
+    u = lambda *x: struct.pack(f">{len(x)}I", *x)
+
+    def trak(i, wide):
+        entry = b(b"avc1" if i == 1 else b"mp4a", bytes(8))
+        tkhd = f(b"tkhd", bytes(16) if wide else bytes(8), u(i, 0), version=int(wide))
+        mdhd = f(b"mdhd", struct.pack(">QQIQ", 0, 0, 1000, 2**64 - 1), bytes(4), version=1) if wide else f(b"mdhd", bytes(8), u(1000, 0, 0))
+        stbl = b(b"stbl", f(b"stsd", u(1), entry), f(b"stts", u(0)), f(b"stsc", u(0)), f(b"stsz", u(0, 0)), f(b"stco", u(0)))
+        return b(b"trak", tkhd, b(b"mdia", mdhd, b(b"minf", stbl)))
+
+    mvex = b(b"mvex", f(b"trex", u(1, 1, 40, 5, media.NOT_SYNC)), f(b"trex", u(2, 1, 20, 3, 0)))
+    head = b(b"ftyp", b"iso5") + b(b"moov", trak(1, False), trak(2, True), mvex)
+
+    def first(size):  # sizes and flags of each sample; the second track counts on from the first one's data
+        one = b(b"traf", f(b"tfhd", u(1), flags=media.BASE_IS_MOOF), f(b"tfdt", u(0)), f(b"trun", u(3), struct.pack(">i", size + 8), u(4, 0), u(6, media.NOT_SYNC), u(1, 0), flags=0x601))
+        two = b(b"traf", f(b"tfhd", u(2)), f(b"trun", u(2)), f(b"trun", u(1), u(9, 7), flags=0x300))
+        return b(b"moof", f(b"mfhd", u(1)), one, two)
+
+    def second(at):  # a base from the start of the file, sizes by default, the first sample a keyframe
+        one = b(b"traf", f(b"tfhd", u(1), struct.pack(">Q", at), u(50, 2), flags=0x19), f(b"tfdt", struct.pack(">Q", 500), version=1), f(b"trun", u(2), struct.pack(">i", 0), u(0), flags=0x5))
+        return b(b"moof", f(b"mfhd", u(2)), one)
+
+    x = first(len(first(0)))
+    file = head + x + b(b"mdat", b"aaaabbbbbbc" + b"dddeeefffffff")
+    y = second(len(file) + len(second(0)) + 8)
+    file += y + b(b"mdat", b"gghh")
+    return file, [(b"aaaabbbbbbcgghh", [4, 6, 1, 2, 2], [0, 2, 3], 600), (b"dddeeefffffff", [3, 3, 7], [0, 1, 2], 49)]
+
+
+def test_media_fragments(spark):
+    file, expected = fragmented()
+    tracks = media.probe(file)
+    assert [t.codec for t in tracks] == ["avc1", "mp4a"]
+    for t, (payload, sizes, keys, duration) in zip(tracks, expected, strict=True):
+        assert (media.sample_bytes(file, t), t.sizes.tolist(), t.keyframes.tolist(), t.duration) == (payload, sizes, keys, duration)
+        assert [file[a : a + n] for a, n in t.key_ranges] == [file[a : a + n] for a, n in zip(t.offsets[keys].tolist(), [sizes[k] for k in keys], strict=True)]
+    rng = random.Random(8)
+    damaged = [file[:n] for n in range(len(file))]
+    for _ in range(3000):
+        bad = bytearray(file)
+        for _ in range(rng.choice([1, 2, 8])):
+            bad[rng.randrange(len(bad))] = rng.choice([0, 1, 127, 255, rng.randrange(256)])
+        damaged.append(bytes(bad))
+    for x in damaged:
+        for t in media.probe(x):
+            assert len(t.sizes) == len(t.offsets) <= 4 * len(x) and 0 <= t.duration < 2**63
+    unknown = media.mux(b"x" * 1000).replace(struct.pack(">IQ", media.TIME_SCALE, 2000) + bytes.fromhex("55c40000"), struct.pack(">IQ", media.TIME_SCALE, 2**64 - 1) + bytes.fromhex("55c40000"))
+    got = media.with_features(spark.createDataFrame([(1, bytearray(file)), (2, bytearray(unknown))], "i int, media binary")).orderBy("i").collect()
+    assert [(r.codec, r.samples, r.duration) for r in got] == [("avc1", 5, 600), ("raw", 2, 2000)]
+
+
 def test_media_any_column_names(spark):
     df = spark.createDataFrame([("a", "b", "c", "t")], "`__payload` string, `media` string, `c0` string, `text` string")
     got = media.with_features(media.with_media(df, "text"))
