@@ -313,7 +313,7 @@ def sample_bytes(media: bytes, track: Track) -> bytes:
     cut = np.flatnonzero(track.offsets[1:] != track.offsets[:-1] + track.sizes[:-1]) + 1
     starts = track.offsets[np.concatenate([[0], cut])]
     ends = (track.offsets + track.sizes)[np.concatenate([cut - 1, [len(track.offsets) - 1]])]
-    return b"".join(media[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+    return b"".join(media[max(a, 0) : max(b, 0)] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))  # past 2^63 is negative
 
 
 def with_media(docs: DataFrame, text_col: str, out: str = "media") -> DataFrame:
