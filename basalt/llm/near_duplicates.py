@@ -1,15 +1,23 @@
-"""N-gram Jaccard join by MinHash LSH with fixed bands and exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest and exact verification.
 
 Documents are sets of five-word shingles; a link joins two different texts whose
 sets have a Jaccard similarity of ``THRESHOLD`` or more.
 
 * Equal texts are collapsed to the one with the least id, with a weight.
-* Each of ``TREES`` bands folds a text's first ``depth`` MinHash values of that
-  band into one label; texts with one label are candidates. The depth is the
-  largest up to ``DEEPEST`` whose recall at the threshold,
-  ``1 - (1 - s^depth)^trees``, reaches ``TARGET``: the same for all texts. This
-  stands in for an LSH forest; there are no tries, and no prefix is shortened
-  by what it matched.
+* Each of ``TREES`` trees is a prefix trie of signatures of ``DEEPEST`` MinHash
+  values. A text of which only its own path is left finds nobody there; of the
+  others each starts with its whole signature in every tree and shortens these
+  prefixes one value at a time, until the share of pairs at the threshold that
+  it then meets, ``1 - prod(1 - s^length)``, reaches ``TARGET``
+  (:func:`prefix_lengths`). Nodes of at most ``CROWD`` texts come first, the
+  longest prefix first; a crowded node is shortened to only if the others
+  leave the text below the target. So texts in crowded parts of some tries
+  keep long prefixes there and shorten them elsewhere.
+* A text's bucket in a tree is the highest node on its path to which any text
+  has shortened: two texts meet if either one's prefix reaches the other.
+  Buckets of one tree never overlap; they are found from the shortest length
+  down, each level once (:func:`forest`). Level and node sizes are aggregated
+  before they are joined, so a node may hold any share of the texts.
 * A bucket is known by its least member, so the buckets that a group of near
   copies forms in many trees meet in one place, and each member's shingles
   travel there once. A bucket of more than ``BLOCK`` members is compared block
@@ -49,9 +57,13 @@ from .storage import drop, durable, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
-TREES = 12
+TREES = 16
+#: Length of a signature, the longest prefix.
 DEEPEST = 6
-TARGET = 0.999
+#: Share of the pairs at exactly the threshold that a text is to meet.
+TARGET = 0.9997
+#: A node of more texts is crowded; texts shorten to it after all others.
+CROWD = 256
 #: Members of a bucket that are compared in one task at most.
 BLOCK = 1024
 STEP = 1 << 20
@@ -66,12 +78,38 @@ def recall(similarity: float, depth: int, trees: int = TREES) -> float:
     return 1 - (1 - similarity**depth) ** trees
 
 
-def prefix_depth(threshold: float, target: float = TARGET, trees: int = TREES, deepest: int = DEEPEST) -> int:
-    """The longest prefix, shortened from the deepest, that reaches the target."""
-    depth = deepest
-    while depth > 1 and recall(threshold, depth, trees) < target:
-        depth -= 1
-    return depth
+def shortest(threshold: float, target: float = TARGET, trees: int = TREES, deepest: int = DEEPEST) -> int:
+    """One value less than the length that reaches the target in all trees at
+    once: what texts may shorten to, to make up for crowded trees."""
+    length = deepest
+    while length > 1 and recall(threshold, length, trees) < target:
+        length -= 1
+    return max(1, length - 1)
+
+
+def prefix_lengths(threshold: float, nodes: dict[int, list[int]], crowd: int = CROWD, target: float = TARGET) -> list[int]:
+    """The prefix length of a text in each tree.
+
+    ``nodes`` gives the trees where the text's node at the shortest length is
+    crowded, with the sizes of its nodes from that length on, down to the
+    longest but one. Sizes are told apart by powers of two times ``crowd``
+    alone, so that a few partners more or less do not choose the tree."""
+    least = shortest(threshold, target)
+    length = [DEEPEST] * TREES
+    miss = math.prod(1 - threshold**x for x in length)
+
+    def cost(tree: int) -> tuple[int, int, int]:
+        size = nodes[tree][length[tree] - 1 - least] if tree in nodes else 0
+        return (max(size - 1, 0) // crowd).bit_length(), -length[tree], tree
+
+    while 1 - miss < target:
+        left = [t for t in range(TREES) if length[t] > least]
+        if not left:
+            break
+        tree = min(left, key=cost)
+        miss *= (1 - threshold ** (length[tree] - 1)) / (1 - threshold ** length[tree])
+        length[tree] -= 1
+    return length
 
 
 def shingle_sets(texts: Texts, size: int, only: np.ndarray | None = None):
@@ -105,10 +143,18 @@ def vertex_id(v: Column) -> Column:
     return F.when(n != g_.NULL_ID, n)
 
 
-def _sign(size: int, depth: int):
+def value_bits(least: int) -> int:
+    """Bits that each value after the first ``least`` has in a signature."""
+    return 60 // max(1, DEEPEST - least)
+
+
+def _sign(size: int, least: int):
+    bits = np.uint64(value_bits(least))
+
     def sign(table: pa.Table) -> pa.Table:
         t = Texts(g_.ordered(table))
-        labels: list[list[int]] = [[] for _ in range(len(t))]
+        heads: list[list[int]] = [[] for _ in range(len(t))]
+        tails: list[list[int]] = [[] for _ in range(len(t))]
         batch: list[tuple[int, np.ndarray]] = []
 
         def flush() -> None:
@@ -116,14 +162,20 @@ def _sign(size: int, depth: int):
                 return
             flat = np.concatenate([s for _, s in batch])
             starts = np.cumsum([0, *[len(s) for _, s in batch[:-1]]])
-            out = np.empty((len(batch), TREES), np.uint64)
+            head = np.empty((len(batch), TREES), np.uint64)
+            tail = np.zeros((len(batch), TREES), np.uint64)
             for tree in range(TREES):
                 key = np.full(len(batch), tree + 1, np.uint64)
-                for k in range(tree * DEEPEST, tree * DEEPEST + depth):
-                    key = mix(key * _TIMES[0] + np.minimum.reduceat((flat ^ _FLIP[k]) * _TIMES[k], starts))
-                out[:, tree] = key
-            for (doc, _), row in zip(batch, out.view(np.int64).tolist(), strict=True):
-                labels[doc] = row
+                for k in range(DEEPEST):
+                    at = tree * DEEPEST + k
+                    least_hash = np.minimum.reduceat((flat ^ _FLIP[at]) * _TIMES[at], starts)
+                    if k < least:
+                        key = mix(key * _TIMES[0] + least_hash)
+                    else:
+                        tail[:, tree] = tail[:, tree] << bits | mix(least_hash * _TIMES[0]) >> np.uint64(64) - bits
+                head[:, tree] = key
+            for (doc, _), x, y in zip(batch, head.view(np.int64).tolist(), tail.view(np.int64).tolist(), strict=True):
+                heads[doc], tails[doc] = x, y
             batch.clear()
 
         held = 0
@@ -136,11 +188,61 @@ def _sign(size: int, depth: int):
         flush()
         keys = [vertex(int(i), t.bytes_of(k)) for k, i in enumerate(t.ids)]
         g = table.column(G)[0].as_py()
-        return pa.table({G: pa.array([g] * len(t), pa.int32()), "v": pa.array(keys, pa.binary()), "labels": pa.array(labels, pa.list_(pa.int64()))})
+        of_long = pa.list_(pa.int64())
+        return pa.table({G: pa.array([g] * len(t), pa.int32()), "v": pa.array(keys, pa.binary()), "heads": pa.array(heads, of_long), "tails": pa.array(tails, of_long)})
 
     return sign
 
 
+def _lengths(threshold: float, crowd: int):
+    def lengths(batches):
+        for batch in batches:
+            out = []
+            for nodes in batch.column("nodes").to_pylist():
+                out.append(prefix_lengths(threshold, {n["tree"]: n["sizes"] for n in nodes}, crowd))
+            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(out, pa.list_(pa.int32()))], names=["v", "lengths"])
+
+    return lengths
+
+
+def forest(rows: DataFrame, threshold: float, crowd: int = CROWD) -> DataFrame:
+    """``rows`` (``v``, ``key``, ``tree``, ``head``, ``tail`` and more, a row per
+    text and tree) that share a bucket, with its ``leader``, the least key in it.
+
+    Everything that is joined is written first, so that a node of very many
+    texts lies in plain exchanges, which adaptive execution can split."""
+    least = shortest(threshold)
+    bits = value_bits(least)
+
+    def path(length: int) -> list:
+        return ["tree", "head", F.shiftright("tail", bits * (DEEPEST - length)).alias("node")] if length > least else ["tree", "head"]
+
+    def sized(frame: DataFrame, length: int, name: str, *more: Column) -> DataFrame:
+        return durable(frame.groupBy(*path(length)).agg(F.count(F.lit(1)).alias(name), *more))
+
+    def beside(frame: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
+        if length == least:
+            return frame.join(nodes, ["tree", "head"])
+        return frame.withColumn("node", path(length)[2]).join(nodes, ["tree", "head", "node"]).drop("node")
+
+    # alone under the shortest prefix is alone under every longer one
+    met = durable(beside(rows, durable(sized(rows, least, "size").where("size > 1")), least))
+    full = met.where(F.col("size") > crowd).select("v", "tree", "head", "tail", F.array("size").alias("sizes"))
+    for length in range(least + 1, DEEPEST):
+        full = durable(beside(full, sized(full, length, "n"), length).withColumn("sizes", F.concat("sizes", F.array("n"))).drop("n"))
+    chosen = full.groupBy("v").agg(F.collect_list(F.struct("tree", "sizes")).alias("nodes")).mapInArrow(_lengths(threshold, crowd), "v binary, lengths array<int>")
+    usual = F.array(*[F.lit(n) for n in prefix_lengths(threshold, {}, crowd)])
+    left = durable(met.drop("size").join(durable(chosen), "v", "left").withColumn("length", F.get(F.coalesce("lengths", usual), F.col("tree"))).drop("lengths"))
+    out = None
+    for length in range(least, DEEPEST + 1):
+        nodes = sized(left, length, "n", F.min("length").alias("reach"), F.min("key").alias("leader")).where("n > 1")
+        at = durable(beside(left, nodes, length))
+        found = at.where(F.col("reach") <= length).drop("n", "reach", "length", "head", "tail", "key")
+        out = found if out is None else out.unionByName(found)
+        left = at.where(F.col("reach") > length).drop("n", "reach", "leader")
+    return out
+
+
 SHIP = f"{G} int, v binary, copies long, held array<struct<tree:int,leader:long,members:long>>"
 
 
@@ -299,20 +401,18 @@ def connected(edges: DataFrame) -> DataFrame:
 class Join:
     """The join's tables; texts are dealt into groups once, ``keep`` columns with them."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, threshold: float, keep: list[str] = (), block: int = BLOCK):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, threshold: float, keep: list[str] = (), block: int = BLOCK, crowd: int = CROWD):
         total = g_.text_bytes(docs, text_col)
         n = g_.group_count(docs, total)
         partitions = max(n, math.ceil(total / PARTITION_BYTES))
         self.by_group = g_.grouped(docs, id_col, text_col, n, keep)
-        depth = prefix_depth(threshold)
-        signed = self.by_group.groupBy(G).applyInArrow(_sign(SHINGLE, depth), f"{G} int, v binary, labels array<long>")
+        signed = self.by_group.groupBy(G).applyInArrow(_sign(SHINGLE, shortest(threshold)), f"{G} int, v binary, heads array<long>, tails array<long>")
         self.signed = durable(signed.withColumn("h", F.substring("v", 9, 16)))
-        one = self.signed.groupBy("h").agg(F.min(F.struct("v", G, "labels")).alias("m"), F.count(F.lit(1)).alias("copies"))
-        self.reps = durable(one.select("h", "m.v", f"m.{G}", "m.labels", "copies"))
-        rows = self.reps.select("v", G, "copies", F.xxhash64("v").alias("key"), F.posexplode("labels").alias("tree", "label"))
-        # written, so that a label of very many texts can be split in the join
-        buckets = durable(rows.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("leader")).where("n > 1").drop("n"))
-        held = durable(rows.drop("key").join(buckets, ["tree", "label"]).drop("label"))
+        one = self.signed.groupBy("h").agg(F.min(F.struct("v", G, "heads", "tails")).alias("m"), F.count(F.lit(1)).alias("copies"))
+        self.reps = durable(one.select("h", "m.v", f"m.{G}", "m.heads", "m.tails", "copies"))
+        rows = self.reps.select("v", G, "copies", F.xxhash64("v").alias("key"), "tails", F.posexplode("heads").alias("tree", "head"))
+        rows = rows.withColumn("tail", F.get("tails", F.col("tree"))).drop("tails")
+        held = durable(forest(rows, threshold, crowd))
         # written, so that the join below reads two plain exchanges and a leader of very many can be split
         members = durable(held.select("v", "leader").distinct().groupBy("leader").agg(F.count(F.lit(1)).alias("members")))
         replies = held.join(members, "leader").groupBy(G, "v", "copies").agg(F.collect_list(F.struct("tree", "leader", "members")).alias("held")).select(G, "v", "copies", "held")
