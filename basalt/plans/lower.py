@@ -10,7 +10,10 @@
   others are carried, not compared.
 * A global aggregate over no rows yields no row.
 * Sums take a 64-bit type where the declared value range allows it for
-  ``max_tuples`` rows, and ``decimal(38,0)`` otherwise. Tables are never counted.
+  ``max_tuples`` rows, and ``decimal(38,0)`` otherwise. Tables are never counted
+  for it.
+* A join whose keys are unique on neither side has its matches counted by key
+  while it is lowered, and as many tasks as they need.
 
 What is unique and what determines what follows from the catalog's declared
 keys: scans, filters, joins and groupings pass it on.
@@ -29,7 +32,7 @@ from ..catalog import Catalog
 from ..config import setting
 from ..functions.registry import AGGREGATES, ARITHMETIC, SCALARS, Domain
 from ..operators.aggregate import distinct_keys, global_aggregate, grouped
-from ..operators.join import at_most_one, inner
+from ..operators.join import at_most_one, inner, many_to_many
 from . import nodes as N
 from .pushdown import implied
 
@@ -187,8 +190,10 @@ def _join(n: N.HashJoin, catalog: Catalog) -> Lowered:
     one = b.is_unique(n.build_keys)
     if n.fk1 and (not one or not set(payloads) - set(n.build_keys)):
         df = at_most_one(probe, b.df, keys, payloads)
-    else:
+    elif one or p.is_unique(n.probe_keys):
         df = inner(probe, b.df, keys, payloads)
+    else:
+        df = many_to_many(probe, b.df, keys, payloads)
     domains = {hidden.get(c, c): d for c, d in p.domains.items()}
     domains |= {c: b.domains.get(c) for c in taken}
     unique, determines = _renamed(p, {c: hidden.get(c, c) for c in p.columns})

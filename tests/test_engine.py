@@ -186,6 +186,47 @@ def test_plans_hash(spark, name):
     assert "SortAggregate" not in _plan(q.run(name, spark, "/root/testdata/sf0.01"))
 
 
+def _pairs(spark, left, right):
+    c = Catalog(spark)
+    for name, df in (("p", left), ("b", right)):
+        c.add(name, df, dict(df.dtypes))
+    return lower(B.hash_join(B.scan("b", ["k", "y"]), ["k"], ["y"], B.scan("p", ["j", "x"]), ["j"]), c).df
+
+
+def test_many_matches_are_dealt_to_tasks(spark):
+    """One key of 10,000 rows a side: no task makes most of the 100 million pairs."""
+    p, b = (spark.range(0, 10_000, 1, 1).selectExpr(f"7L AS {k}", f"id AS {v}") for k, v in ("jx", "ky"))
+    made = [r.n for r in _pairs(spark, p, b).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(made) == 10**8 and max(made) < 7 * 10**7
+
+
+@pytest.mark.parametrize("limits", [{}, {"SIDE": 4, "TASK_MATCHES": 64}, {"SIDE": 4, "TASK_MATCHES": 64, "TASK_ROWS": 16, "BROADCAST_KEYS": 0}, {"SIDE": 1000, "TASK_MATCHES": 64, "LINEAR": 1}])
+def test_many_to_many_rows(spark, monkeypatch, limits):
+    """Hot keys of one side or both, copies, missing keys and keys of one side only; bigint and int keys."""
+    from basalt.operators import join
+
+    for k, v in limits.items():
+        monkeypatch.setattr(join, k, v)
+    p = [(1, i) for i in range(50)] + [(1, 5)] * 30 + [(2, i) for i in range(90)] + [(3, 0), (None, 1), (None, 2), (4, 1)] + [(6, 6)] * 3
+    b = [(1, i) for i in range(60)] + [(2, 7)] + [(3, i) for i in range(70)] + [(None, 1), (5, 1)] + [(6, 0)] * 2 + [(1, 9)] * 20
+    out = _pairs(spark, spark.createDataFrame(p, "j long, x long"), spark.createDataFrame(b, "k int, y long"))
+    assert out.dtypes == [("j", "bigint"), ("x", "bigint"), ("k", "int"), ("y", "bigint")]
+    assert sorted(map(tuple, out.collect())) == sorted((j, x, k, y) for j, x in p for k, y in b if j is not None and j == k)
+
+
+def test_many_to_many_with_itself(spark, monkeypatch):
+    from basalt.operators import join
+
+    monkeypatch.setattr(join, "SIDE", 4)
+    monkeypatch.setattr(join, "TASK_MATCHES", 64)
+    c = Catalog(spark)
+    c.add_rows("t", [(i % 3, i % 2, i) for i in range(60)], {"a": "bigint", "b": "bigint", "v": "bigint"})
+    s = B.scan("t", ["a", "b", "v"])
+    x = lower(B.hash_join(s, ["a", "b"], ["v"], s, ["a", "b"]), c)
+    assert x.columns == ["a__probe", "b__probe", "v__probe", "a", "b", "v"]
+    assert rows(x) == sorted((i % 3, i % 2, i, j % 3, j % 2, j) for i in range(60) for j in range(60) if i % 6 == j % 6)
+
+
 def test_unique_builds_are_not_reduced(spark):
     for name, aggregates in (("join_group", 2), ("tpch_q9", 2), ("tpch_q10", 2)):
         assert _plan(q.run(name, spark, "/root/testdata/sf0.01")).count("HashAggregate(") == aggregates
